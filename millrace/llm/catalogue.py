@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import pieces, together, tokens
+from millrace.llm import encodings, pieces, together, tokens
 from millrace.operators.deliveries import kept_mails
 from millrace.session import table, work_path
 
@@ -35,6 +35,23 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return parts.where("piece_no is not null").drop("line_no")
 
 
+def _misread(spark: SparkSession, folder: str) -> DataFrame:
+    mails = encodings.mail_text_rows(table(spark, folder, "inbox_messages"))
+    texts = mails.select(F.lit("inbox_messages").alias("src"), F.col("mail_id").alias("row_id"), F.lit("raw_message").alias("field"), "text")
+    commits = table(spark, folder, "commits")
+    for field in ("author", "body"):
+        texts = texts.unionAll(commits.select(F.lit("commits"), "commit_id", F.lit(field), field))
+    return encodings.find_misread(texts)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _misread(spark, folder).select("src", "row_id", "field")
+
+
+def p6_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return _misread(spark, folder)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -44,6 +61,8 @@ QUERIES = {
     "p2_odds": p2_odds,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
+    "p6_restored": p6_restored,
     "p7_ids": p7_ids,
 }
 
