@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encodings, pieces, together, tokens
+from millrace.llm import encodings, personal, pieces, together, tokens
 from millrace.operators.deliveries import kept_mails
 from millrace.session import table, work_path
 
@@ -56,6 +56,14 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.find_mentions(table(spark, folder, "documents"), "doc_id", "text").drop("end_pos")
+
+
+def p9_replaced(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.replace_mentions(table(spark, folder, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_odds": p2_odds,
@@ -64,6 +72,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_restored": p6_restored,
     "p7_ids": p7_ids,
+    "p9_found": p9_found,
+    "p9_replaced": p9_replaced,
 }
 
 _PAIRS = r"""
