@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encodings, personal, pieces, together, tokens
+from millrace.llm import encodings, names, personal, pieces, together, tokens
 from millrace.operators.deliveries import kept_mails
 from millrace.session import table, work_path
 
@@ -26,6 +26,10 @@ def p2_odds(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.same_names(table(spark, folder, "commits"), "author", table(spark, folder, "nicknames"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.oversized(table(spark, folder, "commits"), "commit_id", "diff")
 
@@ -67,6 +71,7 @@ def p9_replaced(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_odds": p2_odds,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
