@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encodings, names, personal, pieces, together, tokens
+from millrace.llm import encodings, names, packing, personal, pieces, together, tokens
 from millrace.operators.deliveries import kept_mails
 from millrace.session import table, work_path
 
@@ -60,6 +60,10 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal.find_mentions(table(spark, folder, "documents"), "doc_id", "text").drop("end_pos")
 
@@ -77,6 +81,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_restored": p6_restored,
     "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
     "p9_found": p9_found,
     "p9_replaced": p9_replaced,
 }
