@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = 8, memory: str = "8g", partitions: int = 8) -> SparkSession:
-    """A local session as the tests and the bench use it."""
+def local_session(cpus: int | str = 8, memory: str = "8g", partitions: int = 8, **more: str) -> SparkSession:
+    """A local session as the tests and the bench use it; ``more`` holds further settings, with _ for each dot."""
+    builder = SparkSession.builder
+    for name, value in more.items():
+        builder = builder.config(name.replace("_", "."), value)
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName("millrace")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -27,15 +34,21 @@ def local_session(cpus: int | str = 8, memory: str = "8g", partitions: int = 8)
     )
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a local folder is made and set.
+    Only where that is unset (tests, one machine) a local folder of our own stands in, one an application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+            atexit.register(shutil.rmtree, _OWN[app][7:], ignore_errors=True)
+        named = _OWN[app]
     return named.rstrip("/")
 
 
@@ -55,6 +68,28 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, once an application, unless PYTHONPATH holds it anyway."""
+    package = Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    folder = tempfile.mkdtemp(prefix="millrace-code-")  # the driver serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "millrace.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the project's Parquet tables."""
+    ship(spark)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
