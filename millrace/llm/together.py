@@ -14,6 +14,7 @@ are in no pair of the result and leave before pairs are made.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ def _emit(runs: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], names=["pair", "n"])
 
 
-def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted runs of packed pairs. Input: sorted item codes of a record, and the block of left items."""
+def _pair_runs(batches: Iterator[pa.RecordBatch], block: int, run: int) -> Iterator[pa.RecordBatch]:
+    """Sorted runs of packed pairs. Input: sorted item codes of a record, and the number of the block of left items."""
     buffer: list[np.ndarray] = []
     held = 0
     for batch in batches:
@@ -55,24 +56,24 @@ def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # records of one size are packed together
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
-            if size <= _BLOCK:
+            if size <= block:
                 a, b = np.triu_indices(size, 1)
-                step = max(1, _RUN // max(1, len(a)))
+                step = max(1, run // max(1, len(a)))
                 for i in range(0, len(rows), step):
                     m = flat[offsets[rows[i : i + step]][:, None] + np.arange(size)]
                     buffer.append(((m[:, a] << 32) | m[:, b]).ravel())
                     held += buffer[-1].size
-                    if held >= _RUN:
+                    if held >= run:
                         yield _emit(buffer)
                         buffer, held = [], 0
             else:
                 for r in rows:
                     m = flat[offsets[r] : offsets[r + 1]]
-                    lo = blocks[r] * _BLOCK
-                    for i in range(lo, min(lo + _BLOCK, size)):
+                    lo = blocks[r] * block
+                    for i in range(lo, min(lo + block, size)):
                         buffer.append((m[i] << 32) | m[i + 1 :])
                         held += buffer[-1].size
-                        if held >= _RUN:
+                        if held >= run:
                             yield _emit(buffer)
                             buffer, held = [], 0
     if held:
@@ -101,13 +102,14 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([count], pa.int64())], names=["pair", "together"])
 
 
-def together(rows: DataFrame, least: int = LEAST, lift: int = LIFT) -> DataFrame:
+def together(rows: DataFrame, least: int = LEAST, lift: int = LIFT, block: int = _BLOCK, run: int = _RUN) -> DataFrame:
     """Pairs of ``rows`` (field, record, item; distinct) that occur together often enough.
 
     Columns: ``field, item_a, item_b`` (in code point order), ``together, count_a, count_b, records``
     and ``odds``, the odds ratio with 0.5 added to each cell. Kept are pairs with
     ``together >= least`` and ``together * records >= lift * count_a * count_b``. Ties need no rule: all pairs that
-    pass are kept. An empty input gives an empty result.
+    pass are kept. An empty input gives an empty result. ``block`` items of a record are paired in one go
+    (larger records are shared out), ``run`` pairs make a sorted run; neither changes the result.
     """
     rows = written(rows, "items")
     spark = rows.sparkSession
@@ -126,9 +128,9 @@ def together(rows: DataFrame, least: int = LEAST, lift: int = LIFT) -> DataFrame
         .groupBy("field", "record")
         .agg(F.sort_array(F.collect_list("code")).alias("codes"))
         .where(F.size("codes") > 1)
-        .select("codes", F.explode(F.sequence(F.lit(0), F.when(F.size("codes") > _BLOCK, F.expr(f"(size(codes) - 1) div {_BLOCK}")).otherwise(0))).alias("block"))
+        .select("codes", F.explode(F.sequence(F.lit(0), F.when(F.size("codes") > block, F.expr(f"(size(codes) - 1) div {block}")).otherwise(0))).alias("block"))
     )
-    runs = baskets.mapInArrow(_pair_runs, "pair bigint, n bigint")
+    runs = baskets.mapInArrow(partial(_pair_runs, block=block, run=run), "pair bigint, n bigint")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     merged = runs.repartition(partitions, "pair").sortWithinPartitions("pair").mapInArrow(_merge_runs, "pair bigint, together bigint")
     pairs = merged.where(F.col("together") >= least).select(
