@@ -2,10 +2,9 @@
 
 Every distinct spelling is repaired (wrong decoding), stripped of titles, quotes and remarks, folded and
 parsed into a family part and a given part. Blocks come from token suffixes: whole family tokens (their
-longest suffix) with the given name's initial for spellings of one family, and suffixes of
-``MIN_SUFFIX`` letters, of the token and of its reversal, for misspelt tokens. A short suffix is
-common, so it never stands alone: it is refined with the other field (the given name) before pairs are
-made. Pairs of a block are compared by their longest common subsequence. All steps are joins on block
+longest suffix) with the given name's initial for spellings of one family, and suffixes of half a token or
+more, of the token and of its reversal, for misspelt tokens. Such suffixes are common, so they never stand
+alone: they are refined with the other field (the given name) before pairs are made. Pairs of a block are compared by their longest common subsequence. All steps are joins on block
 keys; no group of spellings is collected anywhere.
 
 A spelling that fits several persons equally well (an initial that two given names share) is linked
@@ -29,7 +28,7 @@ from pyspark.sql.window import Window
 from millrace.llm.encodings import Repairer, train
 from millrace.session import written
 
-MIN_SUFFIX = 4  # letters of a blocking suffix
+MIN_SUFFIX = 2  # letters that a blocking suffix has at least
 _KNOWN_PARTNERS = 6  # families with which a word must stand before it counts as a given name
 
 # What stands beside names without being part of them.
@@ -63,7 +62,7 @@ def lcs(a: str, b: str) -> int:
 def near(a: str, b: str) -> bool:
     """One slip apart: all but one letter of the longer word are a common subsequence."""
     longer = max(len(a), len(b))
-    return a != b and min(len(a), len(b)) >= 3 and lcs(a, b) >= longer - 1
+    return a != b and min(len(a), len(b)) >= 2 and longer >= 3 and lcs(a, b) >= longer - 1
 
 
 def parse(name: str) -> tuple[str, list[str], str]:
@@ -136,10 +135,17 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([near(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def _block_keys(word: Column, n: int) -> Column:
-    """The suffixes of ``n`` letters of a token and of its reversal; of short tokens also both ends."""
-    ends = F.when(F.length(word) <= 2 * n, F.concat(F.lit("e"), F.left(word, F.lit(1)), F.right(word, F.lit(1))))
-    return F.array_compact(F.array(F.concat(F.lit("s"), F.right(word, F.lit(n))), F.concat(F.lit("p"), F.left(word, F.lit(n))), ends))
+def _block_keys(word: Column, least: int) -> Column:
+    """Suffixes of about half a token, and of its reversal; of short tokens also both ends.
+
+    One slip leaves a suffix of the token or of its reversal whole that is one letter short of half the
+    token. Two lengths are used so that tokens whose lengths differ by one share one. No suffix is
+    shorter than ``least``.
+    """
+    halves = [F.greatest(F.lit(least), F.floor((F.length(word) - short) / 2).cast("int") - 1) for short in (0, 1)]
+    keys = [F.concat(F.lit(side), cut(word, n)) for n in halves for side, cut in (("s", F.right), ("p", F.left))]
+    ends = F.when(F.length(word) <= 6, F.concat(F.lit("e"), F.left(word, F.lit(1)), F.right(word, F.lit(1))))
+    return F.array_distinct(F.array_compact(F.array(*keys, ends)))
 
 
 def _fold_native(word: Column) -> Column:
@@ -195,8 +201,8 @@ def link_names(df: DataFrame, author: str, nicknames: DataFrame) -> DataFrame:
     nick = direct.join(table.select(F.col("nick").alias("word"), "given"), "word").select("word", "given")
     unknown = words.join(known, "word", "left_anti")
     slips = (
-        unknown.select("word", F.explode(_block_keys(F.col("word"), 3)).alias("key"))
-        .join(known.select(F.col("word").alias("given"), F.explode(_block_keys(F.col("word"), 3)).alias("key")), "key")
+        unknown.select("word", F.explode(_block_keys(F.col("word"), MIN_SUFFIX)).alias("key"))
+        .join(known.select(F.col("word").alias("given"), F.explode(_block_keys(F.col("word"), MIN_SUFFIX)).alias("key")), "key")
         .select("word", "given").distinct().where(_near("word", "given"))
     )
     slip_nick = slips.join(table.select(F.col("nick").alias("given"), F.col("given").alias("g2")), "given").select("word", F.col("g2").alias("given"))
