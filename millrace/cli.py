@@ -18,7 +18,7 @@ from millrace import settings as C
 from millrace.functions import text as X
 from millrace.operators import analysis, hashlist, resume, rules
 from millrace.plans import pipeline
-from millrace.session import local_session, written
+from millrace.session import clear_work, local_session, written
 from millrace.sources import files, git
 
 _ERRORS = (C.SettingsError, hashlist.HashListError, rules.RuleError, git.GitError, analysis.AnalysisError, ValueError, OSError)
@@ -195,11 +195,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, **mor
     if not argv or argv[0] not in STAGES:
         print(f"usage: millrace {'|'.join(STAGES)} ...", file=sys.stderr)
         return 2
+    spark = spark or local_session()
     try:
-        return STAGES[argv[0]](spark or local_session(), argv[1:], **more)
+        return STAGES[argv[0]](spark, argv[1:], **more)
     except _ERRORS as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
+    finally:
+        clear_work(spark)
 
 
 if __name__ == "__main__":

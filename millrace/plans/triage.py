@@ -293,7 +293,8 @@ def pipeline_end_to_end(spark, folder):
     commits = table(spark, folder, "commits")
     found = pipeline.extract(table(spark, folder, "inbox_messages"), commits, host=HOST)
     listed = pipeline.numbered(written(found.candidates, "candidates"))
-    loads = hashlist.first_of_each(commits.drop("requested_hash"), F.col("hash"), [F.col("commit_id")])
+    read = commits.select("commit_id", "hash", "subject", "body", "files", "diff_truncated", "original_diff_chars")
+    loads = hashlist.first_of_each(read, F.col("hash"), [F.col("commit_id")])
     joined = listed.join(loads, F.col("requested_hash") == F.col("hash"))
     kept = rules.decide(joined, rules.compile_rules((), EXCLUDE, ("subject", "body", "files"))).where("status = 'selected'")
     return kept.select("input_index", "hash", X.render_index_line(F.col("hash"), F.col("subject"), F.lit("")).alias("line"))

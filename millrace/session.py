@@ -52,9 +52,20 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex[:12]}")
+    return _MADE[-1]
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Deletes the tables that this process has written to the shared folder; no DataFrame on them may be used after."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
