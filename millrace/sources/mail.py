@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from email import policy
-from email.message import EmailMessage
-from email.parser import BytesParser
+from email import message_from_bytes
+from email.header import decode_header
+from email.message import Message
+from email.utils import format_datetime, parsedate_to_datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_FOLD = re.compile(r"[\r\n]+")
 
-def _content(part: EmailMessage) -> str:
-    """A part's text; where its charset is unknown or wrong, as UTF-8 with replacements."""
+
+def _decoded(data: bytes, charset: str | None, other: str = "ascii") -> str:
+    """``data`` in its charset, or as UTF-8 if that is unknown; what cannot be decoded is replaced."""
+    try:
+        return data.decode(charset or other, "replace")
+    except (LookupError, UnicodeError):
+        return data.decode("utf-8", "replace")
+
+
+def _content(part: Message) -> str:
+    return _decoded(part.get_payload(decode=True) or b"", part.get_content_charset())
+
+
+def _header(text: str) -> str:
+    """A header's text: unfolded, its encoded words decoded, its raw bytes as UTF-8."""
+    text = _FOLD.sub("", text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")).strip()
+    if "=?" not in text:
+        return text
     try:
-        text = part.get_content()
-        if isinstance(text, str):
-            return text
-    except (LookupError, UnicodeError, KeyError):
-        pass
-    return (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
+        pieces = decode_header(text)
+    except Exception:  # noqa: BLE001 - a broken encoded word stays as it stands
+        return text
+    return "".join(x if isinstance(x, str) else _decoded(x, c, "utf-8") for x, c in pieces)
+
+
+def _date(text: str) -> str:
+    """A Date header in the standard notation if it is a date of that kind, else as it stands."""
+    try:
+        return format_datetime(parsedate_to_datetime(text))
+    except (ValueError, TypeError, IndexError, OverflowError):
+        return text
 
 
 def parse_mail(raw: bytes | None) -> tuple[str, str, str, str]:
@@ -32,21 +57,18 @@ def parse_mail(raw: bytes | None) -> tuple[str, str, str, str]:
     raw = raw or b""
     if raw.startswith(b"From "):
         raw = raw.partition(b"\n")[2]
-    message = BytesParser(policy=policy.default).parsebytes(raw)
-
-    def header(name: str) -> str:
-        try:
-            return str(message.get(name, ""))
-        except (ValueError, IndexError, AttributeError, TypeError):
-            return next((str(v) for k, v in message.raw_items() if k.lower() == name.lower()), "")
-
+    message = message_from_bytes(raw)
+    headers: dict[str, str] = {}
+    for name, value in message.raw_items():
+        headers.setdefault(name.lower(), value)
     if message.is_multipart():
         parts = [p for p in message.walk() if p.get_content_type() == "text/plain" and p.get_content_disposition() != "attachment"]
         body = "\n".join(map(_content, parts))
     else:
         body = _content(message)
-    clean = lambda s: s.encode("utf-8", "replace").decode("utf-8")  # noqa: E731 - lone surrogates
-    return clean(header("Message-ID")), clean(header("Subject")), clean(header("Date")), clean(body)
+    clean = body.encode("utf-8", "replace").decode("utf-8")  # no lone surrogates
+    message_id, subject, date = (_header(str(headers.get(h, ""))) for h in ("message-id", "subject", "date"))
+    return message_id, subject, _date(date), clean
 
 
 def parse_mails(messages: DataFrame, raw: str = "raw_message") -> DataFrame:
