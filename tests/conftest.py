@@ -15,7 +15,7 @@ DATA = Path(os.environ.get("MILLRACE_TEST_DATA", "/root/testdata/sf0.001"))
 def spark(tmp_path_factory):
     from millrace.session import local_session
 
-    session = local_session(8, "4g", 4, spark_checkpoint_dir=f"file://{tmp_path_factory.mktemp('shared')}")
+    session = local_session(8, "4g", 2, spark_checkpoint_dir=f"file://{tmp_path_factory.mktemp('shared')}")
     session.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     session.sparkContext.setLogLevel("ERROR")
     yield session
