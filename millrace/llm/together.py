@@ -27,6 +27,7 @@ from millrace.session import written
 LEAST, LIFT = 5, 10
 _SHARDS, _ORDINAL_BITS = 1024, 21  # 2^31 codes
 _RUN = 1 << 21  # pairs of one sorted run (16 MB)
+_FIELDS = 100  # fields whose number of records the plan holds as literals
 _BLOCK = 512  # items of a record whose pairs one row makes
 
 
@@ -115,8 +116,16 @@ def together(rows: DataFrame, least: int = LEAST, lift: int = LIFT, block: int =
     spark = rows.sparkSession
     sizes = rows.groupBy("field").agg(F.count_distinct("record").alias("records"))
     counts = rows.groupBy("field", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    # one row per field: a handful, and joined by its size
-    counts = counts.join(sizes, "field").where(F.col("n") * lift <= F.col("records"))
+    # a field is a name that the caller gave, so there are a handful; only more than that are joined
+    few = sizes.limit(_FIELDS + 1).collect()
+    if len(few) > _FIELDS:
+        counts = counts.join(sizes, "field")
+    else:
+        records = F.lit(0).cast("bigint")
+        for r in few:
+            records = F.when(F.col("field") == r["field"], F.lit(r["records"]).cast("bigint")).otherwise(records)
+        counts = counts.withColumn("records", records)
+    counts = counts.where(F.col("n") * lift <= F.col("records"))
     keyed = counts.withColumn("key", F.concat_ws("\x01", "field", "item"))
     coded = sharded_ordinals(keyed, "key", _SHARDS)
     fits = F.when(F.col("ordinal") < (1 << _ORDINAL_BITS), F.col("ordinal")).otherwise(F.raise_error(F.lit("too many items of one shard")).cast("bigint"))
