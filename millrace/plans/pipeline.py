@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.operators import references as R
 from millrace.operators.hashlist import dense_index, first_of_each
+from millrace.session import written
 from millrace.sources.mail import parse_mails
 
 
@@ -33,7 +34,10 @@ def extract(messages: DataFrame, commits: DataFrame | None, prefer_known: bool =
         raise ValueError("prefer_known needs commits")
     parsed = first_mails(parse_mails(messages))
     mails = parsed.withColumn("cve_ids", X.cve_ids(F.col("subject"), F.col("body"))).withColumn("mail", F.struct("epoch", "seq"))
-    fixes = mails.select("mail", F.posexplode(R.merged_in_row(F.col("body"), host)).alias("fix_idx", "f")).select("mail", "fix_idx", "f.*")
+    # several branches follow, so what parsing and extraction gave is written once; bodies aren't needed any more
+    mails = written(mails.withColumn("refs", R.merged_in_row(F.col("body"), host)).drop("body"), "parsed-mails")
+    fixes = mails.select("mail", F.posexplode("refs").alias("fix_idx", "f")).select("mail", "fix_idx", "f.*")
+    mails = mails.drop("refs")
     resolved = R.resolve(fixes, "reported_hash", commits) if prefer_known else None
     decided, marked = R.select_fixes(mails, R.attach(fixes, resolved), "mail", ["epoch", "seq"], prefer_known, fall_back)
     audit = R.audit(decided.withColumn("permalink", X.permalink(F.col("message_id"))), marked, "mail")
