@@ -8,7 +8,9 @@ alone: they are refined with the other field (the given name) before pairs are m
 keys; no group of spellings is collected anywhere.
 
 A spelling that fits several persons equally well (an initial that two given names share) is linked
-to none of them: people of one family name are not one person.
+to none of them: people of one family name are not one person. A family name one slip away from another
+is taken for a misspelling, whatever its length and however often it was typed, if persons of the same given
+name bear both and at most one of its persons is unknown to the other.
 """
 
 from __future__ import annotations
@@ -140,12 +142,13 @@ def _block_keys(word: Column, least: int) -> Column:
 
     One slip leaves a suffix of the token or of its reversal whole that is one letter short of half the
     token. Two lengths are used so that tokens whose lengths differ by one share one. No suffix is
-    shorter than ``least``.
+    shorter than ``least``, but for tokens of three letters, of which two exchanged ones leave only one.
     """
     halves = [F.greatest(F.lit(least), F.floor((F.length(word) - short) / 2).cast("int") - 1) for short in (0, 1)]
     keys = [F.concat(F.lit(side), cut(word, n)) for n in halves for side, cut in (("s", F.right), ("p", F.left))]
     ends = F.when(F.length(word) <= 6, F.concat(F.lit("e"), F.left(word, F.lit(1)), F.right(word, F.lit(1))))
-    return F.array_distinct(F.array_compact(F.array(*keys, ends)))
+    single = [F.when(F.length(word) == 3, F.concat(F.lit(side), cut(word, F.lit(1)))) for side, cut in (("s", F.right), ("p", F.left))]
+    return F.array_distinct(F.array_compact(F.array(*keys, ends, *single)))
 
 
 def _fold_native(word: Column) -> Column:
@@ -209,25 +212,36 @@ def link_names(df: DataFrame, author: str, nicknames: DataFrame) -> DataFrame:
     slips = slips.join(table.select(F.col("nick").alias("given")).distinct(), "given", "left_anti").select("word", "given").union(slip_nick)
     candidates = written(plain.union(also).union(nick).union(slips).distinct(), "candidates")
 
-    # families one slip away, of the same given name: the rarer spelling joins the more common one
+    # families one slip away, of the same given name: the spelling of fewer persons joins that of more
+    # (with as many, the rarer one the more common one); short heads of organisations are often acronyms
     full = roles.join(candidates, F.col("giv") == F.col("word"), "left").select("author", "org", "fam", "giv", F.coalesce("given", F.when(F.length("giv") > 1, F.col("giv"))).alias("given"))
     full = written(full, "full-names")
-    support = full.groupBy("fam").agg(F.count_distinct("author").alias("n"))
+    spelt = full.where("given is not null and not given like '%.' and (not org or length(fam) >= 6)")
+    people = spelt.groupBy("fam", "giv").agg(F.min("given").alias("person"))
+    support = people.groupBy("fam").agg(F.count_distinct("person").alias("people")).join(full.groupBy("fam").agg(F.count_distinct("author").alias("n")), "fam")
     blocks = (
-        full.where("given is not null and length(fam) >= 6 and not given like '%.'").select("fam", "given").distinct().join(support, "fam")
-        .select("fam", "given", "n", F.explode(_block_keys(F.col("fam"), MIN_SUFFIX)).alias("key"))
+        spelt.select("fam", "given").distinct().join(support, "fam")
+        .select("fam", "given", F.struct("people", "n").alias("size"), F.explode(_block_keys(F.col("fam"), MIN_SUFFIX)).alias("key"))
     )
-    other = blocks.select(F.col("fam").alias("to"), "given", F.col("n").alias("m"), "key")
-    rarer = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("fam") > F.col("to")))
-    merges = (
-        blocks.where("n <= 2").join(other, ["given", "key"]).where(rarer & (F.abs(F.length("fam") - F.length("to")) <= 1))
-        .select("fam", "to", "m").distinct().where(_near("fam", "to"))
-        .groupBy("fam").agg(F.max_by("to", F.struct("m", "to")).alias("to"))
+    other = blocks.select(F.col("fam").alias("to"), "given", F.col("size").alias("size_to"), "key")
+    rarer = (F.col("size") < F.col("size_to")) | ((F.col("size") == F.col("size_to")) & (F.col("fam") > F.col("to")))
+    pairs = (
+        blocks.join(other, ["given", "key"]).where(rarer & (F.abs(F.length("fam") - F.length("to")) <= 1))
+        .select("fam", "to", "given", "size", "size_to").distinct().where(_near("fam", "to"))
     )
-    # a target that is a slip itself leads on to its own target
-    onward = merges.select(F.col("fam").alias("to"), F.col("to").alias("to2"))
-    merges = merges.join(onward, "to", "left").select("fam", F.coalesce("to2", "to").alias("canon"))
+    # two persons whom the other family lacks make a family of its own, which is no slip
+    shared = (
+        pairs.join(spelt.select("fam", "giv", "given").distinct(), ["fam", "given"]).join(people, ["fam", "giv"])
+        .groupBy("fam", "to", "size", "size_to").agg(F.count_distinct("person").alias("shared"))
+    )
+    merges = shared.where(F.col("size.people") - F.col("shared") <= 1).groupBy("fam").agg(F.max_by("to", F.struct("shared", "size_to", "to")).alias("canon"))
     merges = written(merges, "family-slips")
+    # a target that is a slip itself leads on to its own target; each round doubles the steps taken
+    while True:
+        onward = merges.select(F.col("fam").alias("canon"), F.col("canon").alias("canon2"))
+        if merges.join(onward, "canon", "left_semi").isEmpty():
+            break
+        merges = written(merges.join(onward, "canon", "left").select("fam", F.coalesce("canon2", "canon").alias("canon")), "family-slips")
     full = full.join(merges, "fam", "left").withColumn("fam", F.coalesce("canon", "fam")).drop("canon")
 
     # persons: a family with a given name that some spelling states beyond doubt

@@ -120,6 +120,21 @@ def test_spellings_of_people_and_organisations(spark):
     assert names.same_names(df.limit(0), "author", nick.limit(0)).count() == 0
 
 
+def test_misspelt_families_of_any_length_and_number(spark):
+    own = [
+        ["Roderick Ventukevik", "Viktoria Ventukevik", "Roderick Ventukevk", "Ventukevk, Roderick", "Roderick VENTUKEVK", "Dr. Roderick Ventukevk", "Roderick Ventukevk (work)"],
+        ["Roderick Weber", "Weber, Roderick", "Roderick Webber"], ["Viktoria Meyer", "Viktoria Mayer", "Mayer, Viktoria", "Viktoria MAYER"], ["Leopold Kim", "Leopold Kmi"],
+        ["Leonora Tam", "Leonora Tamm", "Leonora Tammo", "Leonora Tammol"],  # slips of slips
+        ["Valentina Wang", "Leopold Wang", "Roderick Wang"], ["Valentina Yang", "Viktoria Yang", "Leonora Yang"],  # two families
+        ["AMD Labs", "AMD Laboratories"], ["ARM Labs", "ARM Laboratories"],
+    ]
+    df = spark.createDataFrame([(a,) for o in own for a in o], "author string")
+    got = {(r.author_a, r.author_b) for r in names.same_names(df, "author", spark.createDataFrame(NICK, "given_name string, nickname string")).collect()}
+    persons = [[a for a in own[0] if "Vik" not in a], *own[1:5], *own[7:]]
+    want = {(a, b) for o in persons for a, b in itertools.combinations(sorted(o), 2)}
+    assert got == want, (got - want, want - got)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=12), st.text("abc", max_size=12))
 def test_longest_common_subsequence(a, b):
