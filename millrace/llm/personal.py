@@ -2,9 +2,10 @@
 
 Mentions are found with cue words and number formats; persons' names also with a lexicon of given
 names that the corpus itself teaches (whoever signs, reviews or reports in it), kept as a bitmap of
-fixed size. A placeholder names its kind and, for numbers, carries a pseudonym: the digits, permuted
-under a key by a Feistel network within their own format. Equal values get equal pseudonyms in all
-documents, different values of one format different ones, and only the key leads back.
+fixed size. A placeholder names its kind and, for numbers, carries a pseudonym: digits and the letters of
+identity numbers, permuted under a key by a Feistel network within their own format (check characters
+and birth dates stay valid). Other values get a keyed tag. Equal values get equal pseudonyms in all
+documents, different numbers of one format different ones, and only the key leads back.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from __future__ import annotations
 import bisect
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Iterator
+from datetime import date
 from functools import lru_cache
 
 import numpy as np
@@ -309,19 +312,138 @@ def restored(digits: str, key: bytes, tweak: str) -> str:
     return f"{a:0{left}d}{b:0{right}d}"
 
 
+def mixed(symbols: list[int], radices: list[int], key: bytes, tweak: str, back: bool = False) -> list[int]:
+    """``symbols`` (each below its radix) permuted among all such lists by the same network; ``back`` undoes it."""
+    sizes = [math.prod(radices[:i]) for i in range(len(radices) + 1)]
+    cut = min(range(len(sizes)), key=lambda i: max(sizes[i], sizes[-1] // sizes[i]))
+    parts, bases = [0, 0], [sizes[cut], sizes[-1] // sizes[cut]]
+    for i, (x, r) in enumerate(zip(symbols, radices, strict=True)):
+        parts[i >= cut] = parts[i >= cut] * r + x
+    for n in reversed(range(10)) if back else range(10):
+        mac = hmac.new(key, f"{tweak}|{radices}|{n}|{parts[1 - n % 2]}".encode(), hashlib.sha256).digest()
+        f = int.from_bytes(mac[:24], "big")
+        parts[n % 2] = (parts[n % 2] + (-f if back else f)) % bases[n % 2]
+    out = []
+    for i in reversed(range(len(radices))):
+        parts[i >= cut], x = divmod(parts[i >= cut], radices[i])
+        out.append(x)
+    return out[::-1]
+
+
+_FIRST_DAY = date(1900, 1, 1).toordinal()
+_DAYS = date(2100, 1, 1).toordinal() - _FIRST_DAY
+_DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+def _day(text: str) -> int | None:
+    """The day that YYYYMMDD names, counted from 1900 to 2099."""
+    try:
+        day = date(int(text[:4]), int(text[4:6]), int(text[6:])).toordinal() - _FIRST_DAY
+    except ValueError:
+        return None
+    return day if 0 <= day < _DAYS else None
+
+
+def _checked(kind: str, value: str) -> str:
+    """``value`` with the check characters of its format put right."""
+    if kind == "iban":
+        return f"{value[:2]}{98 - int(''.join(str(int(c, 36)) for c in value[4:] + value[:2] + '00')) % 97:02d}{value[4:]}"
+    if kind == "resident":
+        return value[:17] + "10X98765432"[sum(int(c) * pow(2, 17 - i, 11) for i, c in enumerate(value[:17])) % 11]
+    if kind == "dni":
+        return value[:8] + _DNI[int(value[:8].translate({ord("X"): "0", ord("Y"): "1", ord("Z"): "2"})) % 23]
+    if kind == "nir":
+        return f"{value[:13]}{97 - int(value[:13]) % 97:02d}"
+    if kind == "luhn":
+        return value[:15] + str(-sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(value[:15])) % 10)
+    return value
+
+
+_FORMATS = [
+    ("resident", re.compile(r"\d{17}[\dX]", re.A)),
+    ("iban", re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", re.A)),
+    ("dni", re.compile(r"[XYZ\d]\d{7}[A-Z]", re.A)),
+    ("nir", re.compile(r"[12]\d{2}(?:0[1-9]|1[0-2])\d{10}", re.A)),
+    ("luhn", re.compile(r"\d{16}", re.A)),
+]
+
+
+def id_format(value: str) -> str:
+    """The validated format whose check characters and calendar parts ``value`` satisfies, ``date`` for a resident
+    number with a birth date and a wrong check, or ``plain``."""
+    for kind, pattern in _FORMATS:
+        if pattern.fullmatch(value):
+            if kind == "resident" and _day(value[6:14]) is None:
+                continue
+            if _checked(kind, value) == value:
+                return kind
+            if kind == "resident":
+                return "date"
+    return "plain"
+
+
+@lru_cache(maxsize=100_000)
+def identity(value: str, key: bytes, back: bool = False) -> str:
+    """An identity number (digits and capital letters) permuted within its format: digits stay digits, letters letters.
+
+    Check characters are made anew and birth dates stay dates. Values that satisfy no check walk on
+    until they reach one that satisfies none either, so the whole remains a permutation.
+    """
+    kind = id_format(value)
+    # (length, alphabet or None for a day) of each symbol; fixed parts have one value
+    digits, letters = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    cells: list[tuple[int, str | None]] = [(1, digits if c.isdigit() else letters) for c in value]
+    if kind in ("resident", "date"):
+        cells[6:14] = [(8, None)]
+        if kind == "resident" or value[-1] == "X":
+            cells[-1] = (1, value[-1])
+    elif kind == "iban":
+        cells[:4] = [(1, c) for c in value[:4]]
+    elif kind == "dni":
+        cells[0], cells[-1] = (1, digits if value[0].isdigit() else "XYZ"), (1, value[-1])
+    elif kind == "nir":
+        cells[0], cells[3:5] = (1, "12"), [(2, "month")]
+        cells[-2:] = [(1, c) for c in value[-2:]]
+    elif kind == "luhn":
+        cells[-1] = (1, value[-1])
+    radices = [_DAYS if a is None else 12 if a == "month" else len(a) for _, a in cells]
+    shape = "".join("0" if c.isdigit() else "A" for c in value) if kind in ("plain", "date") else f"{len(value)}"
+    if kind == "iban":
+        shape = value[:2] + "".join("0" if c.isdigit() else "A" for c in value[4:])
+    while True:
+        symbols, at = [], 0
+        for n, a in cells:
+            part = value[at : at + n]
+            symbols.append(_day(part) if a is None else int(part) - 1 if a == "month" else a.index(part))
+            at += n
+        new = mixed(symbols, radices, key, f"id_number|{kind}|{shape}", back)
+        value = "".join(
+            date.fromordinal(x + _FIRST_DAY).strftime("%Y%m%d") if a is None else f"{x + 1:02d}" if a == "month" else a[x]
+            for x, (_, a) in zip(new, cells, strict=True)
+        )
+        value = _checked(kind, value)
+        if id_format(value) == kind:
+            return value
+
+
 _FULL_WIDTH = {ord("０") + i: str(i) for i in range(10)}
 
 
 def placeholder(value: str, kind: str, key: bytes = KEY) -> str:
-    """``[KIND pseudonym]``: numbers keep their format; other values become a keyed tag of eight digits."""
-    if kind in ("phone", "id_number"):
+    """``[KIND pseudonym]``: numbers keep their format; names become a keyed tag of eight digits, others one of 128 bits."""
+    if kind == "id_number":
+        plain = value.translate(_FULL_WIDTH)
+        new = iter(identity("".join(c for c in plain if c.isalnum()), key))
+        return f"[{kind.upper()} {''.join(next(new) if c.isalnum() else c for c in plain)}]"
+    if kind == "phone":
         plain = value.translate(_FULL_WIDTH)
         digits = "".join(c for c in plain if c.isdigit())
         shape = "".join("0" if c.isdigit() else c for c in plain)
         new = iter(permuted(digits, key, f"{kind}|{''.join(c for c in shape if c.isalnum())}"))
         return f"[{kind.upper()} {''.join(next(new) if c.isdigit() else c for c in plain)}]"
-    tag = int.from_bytes(hmac.new(key, f"{kind}|{' '.join(value.split()).casefold()}".encode(), hashlib.sha256).digest()[:8], "big") % 10**8
-    return f"[{kind.upper()} {tag:08d}]"
+    mac = hmac.new(key, f"{kind}|{' '.join(value.split()).casefold()}".encode(), hashlib.sha256)
+    tag = f"{int.from_bytes(mac.digest()[:8], 'big') % 10**8:08d}" if kind == "name" else mac.hexdigest()[:32]
+    return f"[{kind.upper()} {tag}]"
 
 
 # --- over tables ------------------------------------------------------------------------------

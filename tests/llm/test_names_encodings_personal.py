@@ -203,6 +203,33 @@ def test_pseudonyms_differ_and_keep_their_format():
     assert personal.placeholder("Jörg  Renmidesen", "name", b"k") == personal.placeholder("JÖRG RENMIDESEN", "name", b"k")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from("plain date resident iban dni nir luhn".split()), st.randoms(use_true_random=False))
+def test_identity_numbers_stay_in_their_format(kind, rng):
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    raw = {
+        "plain": "ZZ" + digits(3) + "K" + digits(5), "date": digits(6) + "19920229" + digits(4), "resident": digits(6) + "20000131" + digits(3) + "0", "iban": "DE00" + digits(10) + "AB" + digits(6),
+        "dni": rng.choice(["X", "4"]) + digits(7) + "A", "nir": "18512" + digits(10), "luhn": digits(16),
+    }[kind]
+    value = personal._checked(kind, raw)
+    kind = personal.id_format(value)
+    new = personal.identity(value, b"k")
+    assert personal.id_format(new) == kind and len(new) == len(value) and personal.identity(new, b"k", True) == value
+    assert kind != "resident" or personal._day(new[6:14]) is not None
+
+
+def test_checks_of_known_numbers():
+    for value, kind in [("11010519491231002X", "resident"), ("GB82WEST12345698765432", "iban"), ("12345678Z", "dni"), ("X1234567L", "dni"), ("4539578763621486", "luhn"), ("255081416802538", "nir"), ("GB82WEST12345698765433", "plain")]:
+        assert personal.id_format(value) == kind, value
+
+
+def test_letters_are_hidden_and_tags_are_wide():
+    new = {personal.placeholder(f"ZZ381K{n}", "id_number", b"k") for n in range(10000, 10050)}
+    assert len(new) == 50 and not any("ZZ" in x and "K" in x[14:] for x in new) and all(re.fullmatch(r"\[ID_NUMBER [A-Z]{2}\d{3}[A-Z]\d{5}\]", x) for x in new)
+    assert len({personal.placeholder(f"u{i}@x.example", "email") for i in range(40_000)}) == 40_000
+    assert re.fullmatch(r"\[ADDRESS [0-9a-f]{32}\]", personal.placeholder("Calle Robledal 67", "address"))
+
+
 def test_tables(spark):
     signed = "\n".join(f"Acked-by: {g} {f}" for g in ("Roderick", "Dominik") for f in ("Aos", "Bik", "Cund"))
     rows = [(1, signed, "k"), (2, "Roderick Malos asked us", "k"), (2, "Roderick Malos asked us", "k"), (3, None, "k"), (4, "", "k"), (None, "é " * 100_000 + "mail a@b.example", "k"), (5, signed, "k")]
