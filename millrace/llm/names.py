@@ -249,10 +249,13 @@ def link_names(df: DataFrame, author: str, nicknames: DataFrame) -> DataFrame:
     sure = counted.where("given is not null and choices = 1 and not giv like '%.'")
     persons = written(sure.select("fam", "given").distinct(), "persons")
     settled = sure.select("author", "fam", "given")
-    # spellings with several candidates: the one that the family has, else the first of them
+    # spellings with several candidates: the one that the family has; the first of them if it has none; no one if it has several
     open_ = counted.where("choices > 1 and not giv like '%.'")
-    fits = _only(open_.join(persons, ["fam", "given"], "left_semi"), ["author", "fam"], "given", "given")
-    rest = open_.join(fits.select("author"), "author", "left_anti")
+    present = open_.join(persons, ["fam", "given"], "left_semi").select("author", "fam", "given")
+    fits = _only(present, ["author", "fam"], "given", "given")
+    torn = present.select("author", "fam").distinct().join(fits.select("author"), "author", "left_anti")
+    torn = torn.select("author", "fam", F.concat(F.lit("!"), F.col("author")).alias("given"))
+    rest = open_.join(present.select("author"), "author", "left_anti")
     first = rest.groupBy("author", "fam").agg(F.min("given").alias("given"))
     settled = settled.union(fits.select("author", "fam", "given")).union(first.select("author", "fam", "given"))
     settled = written(settled, "settled")
@@ -271,7 +274,7 @@ def link_names(df: DataFrame, author: str, nicknames: DataFrame) -> DataFrame:
     # an initial that several persons share belongs to none of them
     shared = short.join(begins.select("author").distinct(), "author", "left_semi").join(expanded.select("author"), "author", "left_anti")
     nobody = shared.select("author", "fam", F.concat(F.lit("!"), F.col("author")).alias("given"))
-    linked = settled.union(expanded.select("author", "fam", "given")).union(alone).union(nobody)
+    linked = settled.union(expanded.select("author", "fam", "given")).union(alone).union(nobody).union(torn)
     return linked.select("author", F.concat_ws("|", "fam", "given").alias("entity"))
 
 

@@ -135,6 +135,14 @@ def test_misspelt_families_of_any_length_and_number(spark):
     assert got == want, (got - want, want - got)
 
 
+def test_nickname_of_two_persons_of_the_family(spark):
+    rows = ["Leo Gorsimedund", "Leopold Gorsimedund", "Leonora Gorsimedund", "Leo Palbeduten", "Leopold Palbeduten", "Leo Mortasimos", "Mortasimos, Leo"]
+    df = spark.createDataFrame([(a,) for a in rows], "author string")
+    nick = spark.createDataFrame(NICK, "given_name string, nickname string")
+    got = {(r.author_a, r.author_b) for r in names.same_names(df, "author", nick).collect()}
+    assert got == {("Leo Palbeduten", "Leopold Palbeduten"), ("Leo Mortasimos", "Mortasimos, Leo")}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=12), st.text("abc", max_size=12))
 def test_longest_common_subsequence(a, b):
