@@ -202,7 +202,7 @@ _PAIR = re.compile(rf"(?<![\w.@/+-])({_N}) ((?:[{_UP}]\. )?{_N}|[{_UP}]\.(?!\w))
 _REVERSED = re.compile(rf", ({_N})(?= ?[<(]|[ \t]*$)", re.M)
 _LAST_WORD = re.compile(rf"(?<![\w.@/+-]){_N}\Z")
 _NOT_NAMES = frozenset(
-    "The This That These Those With Without Before After Since Note Keep Nothing Throughput Severity Mitigation Register Why Should Tested Looks Kernel Team Foundry Labs Unit Queue Master Bay Lake Ridge Weir Point Creek Call".split()
+    "The This That These Those With Without Before After Since Note Keep Nothing Throughput Severity Mitigation Register Why Should Tested Looks Kernel Team Labs Call".split()
 )
 
 

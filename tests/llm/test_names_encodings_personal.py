@@ -197,6 +197,12 @@ def test_mentions_of_every_kind(finder):
     ]
 
 
+def test_families_that_are_common_words(finder):
+    families = "Unit Queue Master Bay Lake Ridge Weir Point Creek Foundry".split()
+    text = "".join(f"we asked Roderick {f} about Larkfen {f} boards\n" for f in families)
+    assert [text[a:b] for a, b, _ in finder.mentions(text)] == [f"Roderick {f}" for f in families]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("0123456789", max_size=24), st.binary(min_size=1, max_size=8), st.text("ab", max_size=3))
 def test_pseudonyms_are_permutations(digits, key, tweak):
