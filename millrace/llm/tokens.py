@@ -1,32 +1,32 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer.
 
-The vocabulary splits a text into pre-tokens (its fixed pattern) and encodes each on its own, so a
-text's ids are its pre-tokens' ids one after the other. The JVM cuts the texts into pre-tokens; the
-Arrow batches that reach Python are dictionary-encoded, each different pre-token of a batch goes
-through the tokenizers library once, and the ids are gathered by offsets.
+Arrow batches of texts go through the tokenizers library. A byte-level vocabulary with its standard cut
+never joins characters across a change from black to white, so a text's ids are the ids of its chunks (a
+word with the one space before it, or a run of white space) one after the other. Each worker has the
+library encode a chunk once and gathers ids by offsets; how a chunk is cut further is the library's own
+affair. Whether that holds is read from the tokenizer's file; any other tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKENIZER = os.environ.get("MILLRACE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
-# Fixed value: the pattern by which byte_bpe_50k cuts texts. Java's letters and numbers stem from an
-# older Unicode; texts with code points that it does not know are cut by the library itself.
-_PRE_TOKEN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
-    r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
-)
-_UNKNOWN = r"\p{Cn}"
+# Fixed value: the characters that Unicode calls white space.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
 @lru_cache(maxsize=4)
@@ -40,57 +40,83 @@ def _library(path: str):
     return tokenizer
 
 
-class _Memo:
-    """Ids of pre-tokens seen by this worker, one flat array with offsets; emptied when it grows too large."""
+@lru_cache(maxsize=4)
+def cuts_at_blanks(path: str) -> bool:
+    """Whether the tokenizer's file says that it cuts texts at white space in the byte-level way."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    cut = made.get("pre_tokenizer") or {}
+    standard = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    apart = all(t["special"] and not any(t.get(x) for x in ("lstrip", "rstrip", "single_word")) for t in made.get("added_tokens") or ())
+    return bool(standard and apart and not made.get("normalizer") and not made.get("truncation") and not made.get("padding"))
+
+
+class _Places(dict):
+    """chunk -> place; a chunk not seen before gets the next place and waits in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        place = self[chunk] = len(self)
+        self.new.append(chunk)
+        return place
+
+
+class Encoder:
+    """Encodes texts; remembers chunks, their ids in one flat array, and forgets all when they grow too many."""
 
     LIMIT = 400_000
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.chunks = path, cuts_at_blanks(path)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.places = _Places()
         self.flat = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 14, np.int64)
-        self.n, self.used = 0, 0
-
-    def places(self, words: list[str]) -> np.ndarray:
-        """The place of each word in ``start``; words not seen before are encoded by the library."""
-        if self.n > self.LIMIT:
+        self.used = 0
+
+    def _learn(self) -> None:
+        new, self.places.new = self.places.new, []
+        rows = [e.ids for e in _library(self.path).encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        total, n = int(sizes.sum()), len(self.places)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.flat[self.used : self.used + total] = np.fromiter((i for r in rows for i in r), np.int32, total)
+        self.start[n - len(new) : n + 1] = self.used + np.concatenate([[0], np.cumsum(sizes)])
+        self.used += total
+
+    def ragged(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, the texts' offsets into them); null is like empty."""
+        if not self.chunks:
+            rows = [e.ids for e in _library(self.path).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+            return np.fromiter((i for r in rows for i in r), np.int32, int(ends[-1])), ends
+        if len(self.places) > self.LIMIT:
             self.clear()
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            rows = [e.ids for e in _library(self.path).encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            total = int(sizes.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.n + len(new) + 1 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.flat[self.used : self.used + total] = np.fromiter((i for r in rows for i in r), np.int32, total)
-            self.start[self.n : self.n + len(new) + 1] = self.used + np.concatenate([[0], np.cumsum(sizes)])
-            known.update(zip(new, range(self.n, self.n + len(new)), strict=True))
-            self.n += len(new)
-            self.used += total
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
-
+        cut = [_CHUNK.findall(t) if t else () for t in texts]
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        at = np.fromiter((self.places[c] for row in cut for c in row), np.int64, int(counts.sum()))
+        if self.places.new:
+            self._learn()
+        starts = self.start[at]
+        sizes = self.start[at + 1] - starts
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        return self.flat[_ragged(starts, sizes)], ends
 
-_MEMOS: dict[str, _Memo] = {}
 
+_ENCODERS: dict[str, Encoder] = {}
 
-def _memo(path: str) -> _Memo:
-    return _MEMOS.setdefault(path, _Memo(path))
 
-
-def _gather(memo: _Memo, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes, starts) in the memo's flat ids of each word of an Arrow string array."""
-    coded = words.dictionary_encode()
-    places = memo.places(coded.dictionary.to_pylist())
-    at = places[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-    starts = memo.start[at]
-    return memo.start[at + 1] - starts, starts
+def encoder(path: str) -> Encoder:
+    """This worker's encoder."""
+    return _ENCODERS.setdefault(path, Encoder(path)) if path not in _ENCODERS else _ENCODERS[path]
 
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -100,20 +126,28 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def _cut(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with its pre-tokens in ``__pre``, or the whole text in ``__whole`` where Java cannot cut it."""
-    whole = F.col(f"`{text}`").rlike(_UNKNOWN)
-    pre = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(_PRE_TOKEN), 0)
-    return df.withColumn("__pre", F.when(~whole, pre)).withColumn("__whole", F.when(whole, F.col(f"`{text}`")))
+def slices(batch: pa.RecordBatch, text: int, limit: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``limit`` bytes of its column ``text``, so that long texts do not add up in memory."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(sizes):
+        before = int(sizes[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + limit, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
-    """The pre-tokens of a batch one after the other, and the rows' offsets into them."""
-    pre = batch.column(batch.schema.get_field_index("__pre"))
-    if isinstance(pre, pa.ExtensionArray):
-        pre = pre.storage
-    counts = pre.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return pre.flatten(), np.concatenate([[0], np.cumsum(counts)])
+def _over_texts(df: DataFrame, key: str, text: str, field: T.StructField, path: str, column: Callable[[np.ndarray, np.ndarray, list], pa.Array]) -> DataFrame:
+    """(``key``, ``field``): ``column`` makes an Arrow column of a batch's ids, offsets and texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                texts = part.column(1).to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column(0), column(*encoder(path).ragged(texts), texts)], names=[key, field.name])
+
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), field])
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
 
 def encode_texts(df: DataFrame, key: str, text: str, path: str = TOKENIZER, out: str = "ids") -> DataFrame:
@@ -122,47 +156,13 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = TOKENIZER, out:
     One row per row of ``df``. Null and empty texts give an empty list; texts of any length are
     encoded whole; repeated rows give repeated rows; other columns are not read.
     """
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(path)
-        for batch in batches:
-            words, offsets = _flat(batch)
-            sizes, starts = _gather(memo, words)
-            ids = memo.flat[_ragged(starts, sizes)]
-            ends = np.concatenate([[0], np.cumsum(sizes)])[offsets]
-            whole = batch.column(2)
-            if whole.null_count < len(whole):
-                lists = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                for i, value in enumerate(whole.to_pylist()):
-                    if value is not None:
-                        lists[i] = np.array(_library(path).encode(value, add_special_tokens=False).ids, np.int32)
-                ids = np.concatenate(lists) if lists else ids
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, out])
-
-    cut = _cut(df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text")), "__text")
-    return cut.select(F.col(f"`{key}`"), "__pre", "__whole").mapInArrow(run, schema)
+    field = T.StructField(out, T.ArrayType(T.IntegerType(), False), False)
+    return _over_texts(df, key, text, field, path, lambda ids, ends, _: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32())))
 
 
 def token_counts(df: DataFrame, key: str, text: str, path: str = TOKENIZER, out: str = "n_tokens") -> DataFrame:
     """(``key``, ``out``): the number of tokens of each text; null and empty texts have none."""
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(out, T.LongType(), False)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(path)
-        for batch in batches:
-            words, offsets = _flat(batch)
-            sizes, _ = _gather(memo, words)
-            counts = np.diff(np.concatenate([[0], np.cumsum(sizes)])[offsets])
-            for i, value in enumerate(batch.column(2).to_pylist() if batch.column(2).null_count < len(batch) else ()):
-                if value is not None:
-                    counts[i] = len(_library(path).encode(value, add_special_tokens=False).ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=[key, out])
-
-    cut = _cut(df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text")), "__text")
-    return cut.select(F.col(f"`{key}`"), "__pre", "__whole").mapInArrow(run, schema)
+    return _over_texts(df, key, text, T.StructField(out, T.LongType(), False), path, lambda ids, ends, _: pa.array(np.diff(ends), pa.int64()))
 
 
 @lru_cache(maxsize=1)
@@ -201,16 +201,21 @@ def decode_ids(df: DataFrame, key: str, ids: str, path: str = TOKENIZER, out: st
     return df.select(F.col(f"`{key}`"), F.col(f"`{ids}`")).mapInArrow(run, schema)
 
 
-def token_offsets(text: str, path: str = TOKENIZER) -> list[tuple[int, int]]:
-    """First character and length in characters of each token of ``text``.
+def token_offsets(df: DataFrame, key: str, text: str, path: str = TOKENIZER, out: str = "spans") -> DataFrame:
+    """(``key``, ``out``): first character (from 0) and length in characters of each token of each text.
 
     A character split over several tokens belongs to the one with its first byte; the others have length 0.
+    Null and empty texts give an empty list.
     """
-    table = _bytes_of_ids(path)
-    out, at = [], 0
-    for i in _library(path).encode(text, add_special_tokens=False).ids:
-        n = sum((b & 0xC0) != 0x80 for b in table[i])
-        out.append((at, n))
-        at += n
-    return out
 
+    def column(ids: np.ndarray, ends: np.ndarray, texts: list) -> pa.Array:
+        table = _bytes_of_ids(path)
+        first = np.array([sum((b & 0xC0) != 0x80 for b in token) for token in table], np.int32)  # characters that begin in each token
+        lengths = first[ids].astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        starts = before[:-1] - np.repeat(before[ends[:-1]], np.diff(ends))
+        spans = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(lengths, pa.int32())], names=["start", "length"])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), spans)
+
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.IntegerType())])
+    return _over_texts(df, key, text, T.StructField(out, T.ArrayType(span), False), path, column)
