@@ -39,6 +39,28 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return parts.where("piece_no is not null").drop("line_no")
 
 
+def p5_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """Each oversized text put together again from its pieces, with what must hold for them.
+
+    ``at_lines``: cuts are hard only where no line begins in what the piece adds.
+    """
+    overlap, limit = pieces.OVERLAP, pieces.LIMIT
+    own = p5_pieces(spark, folder).select("commit_id", F.struct("piece_no", "start_pos", "end_pos", "cut", "piece").alias("p"))
+    parts = own.groupBy("commit_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    added = lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substr(x["piece"], F.lit(overlap + 1)))
+    text = F.array_join(F.transform("p", added), "")
+    fresh = F.transform("p", lambda x, i: F.struct(x["cut"].alias("cut"), F.left(added(x, i), F.length(added(x, i)) - 1).alias("new")))
+    repeated = F.expr(f"forall(sequence(1, size(p) - 1), i -> left(p[i].piece, {overlap}) = right(p[i - 1].piece, {overlap}) and p[i].piece_no = i)")
+    return parts.select(
+        "commit_id",
+        F.md5(text).alias("diff_md5"),
+        F.length(text).cast("bigint").alias("chars"),
+        F.forall("p", lambda x: F.length(x["piece"]) <= limit).alias("within"),
+        repeated.alias("overlapping"),
+        F.forall(fresh, lambda x: (x["cut"] != "hard") | ~F.contains(x["new"], F.lit("\n"))).alias("at_lines"),
+    )
+
+
 def _misread(spark: SparkSession, folder: str) -> DataFrame:
     mails = encodings.mail_text_rows(table(spark, folder, "inbox_messages"))
     texts = mails.select(F.lit("inbox_messages").alias("src"), F.col("mail_id").alias("row_id"), F.lit("raw_message").alias("field"), "text")
@@ -78,6 +100,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_rejoined": p5_rejoined,
     "p6_found": p6_found,
     "p6_restored": p6_restored,
     "p7_ids": p7_ids,
@@ -127,9 +150,14 @@ SQL = {
     "p5_found": r"""
         WITH big AS (SELECT commit_id, diff FROM commits WHERE length(diff) > 6000),
         cut AS (SELECT commit_id, string_split(diff, chr(10)) AS lines FROM big),
-        numbered AS (SELECT commit_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS line_no, len(lines) AS n FROM cut)
+        numbered AS (SELECT commit_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS line_no FROM cut)
         SELECT commit_id, CAST(0 AS BIGINT) AS line_no FROM big
         UNION ALL
-        SELECT commit_id, CAST(line_no AS BIGINT) FROM numbered WHERE length(line) > 6000 AND line_no < n
+        SELECT commit_id, CAST(line_no AS BIGINT) FROM numbered WHERE length(line) > 6000
+    """,
+    # the pieces hold the whole text: each but its overlap follows the one before, and none is too long
+    "p5_rejoined": r"""
+        SELECT commit_id, md5(diff) AS diff_md5, CAST(length(diff) AS BIGINT) AS chars, TRUE AS within, TRUE AS overlapping, TRUE AS at_lines
+        FROM commits WHERE length(diff) > 6000
     """,
 }

@@ -37,7 +37,7 @@ def plan_pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[
     A text within the limit is one piece. No piece is longer than ``limit``; each after the first
     begins ``overlap`` characters before the end of the one before. File starts are preferred, then
     block starts, then line starts, as long as a piece stays at least half full; lines fill it best.
-    A line counts as too long by its characters before the line feed, and only if one ends it.
+    A line counts as too long by its characters before the line feed; the last line needs none.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
@@ -46,7 +46,7 @@ def plan_pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[
         return [(0, size, "end")], []
     starts = line_starts(text)
     lengths = np.diff(starts) - 1
-    lengths[-1] = -1  # what follows the last line feed isn't ended by one
+    lengths[-1] += 1  # no line feed ends what follows the last one
     long_lines = (np.flatnonzero(lengths > limit) + 1).tolist()
     inner = starts[1:-1]
     files = np.array([i for i in inner.tolist() if text.startswith("diff --git ", i)], np.int64)

@@ -83,7 +83,7 @@ def test_pieces_put_together_give_the_text(parts, ended, sizes):
             assert "\n" not in text[max(a + overlap, 0) : b - 1]
         else:
             assert text[b - 1] == "\n" and text[b:].startswith({"file": "diff --git ", "block": "@@ "}.get(cut, ""))
-    assert lines == [n for n, line in enumerate(text.split("\n")[:-1], 1) if len(line) > limit]
+    assert lines == [n for n, line in enumerate(text.split("\n"), 1) if len(line) > limit]
 
 
 def test_split_rows(spark):
@@ -94,7 +94,7 @@ def test_split_rows(spark):
     for key, times in ((1, 2), (5, 1), (None, 1)):
         assert sum(r.piece_no == 0 for r in out if r.id == key) == times
     assert {r.id for r in out} == {1, 5, None} and all(len(r.piece) <= 6000 for r in out if r.piece_no is not None)
-    assert sorted((r.id or 0, r.line_no) for r in pieces.oversized(df, "id", "text").collect()) == [(0, 0), (1, 0), (1, 0), (1, 2), (1, 2), (5, 0)]
+    assert sorted((r.id or 0, r.line_no) for r in pieces.oversized(df, "id", "text").collect()) == [(0, 0), (0, 1), (1, 0), (1, 0), (1, 2), (1, 2), (1, 2003), (1, 2003), (5, 0), (5, 1)]
     assert pieces.split_oversized(df.limit(0), "id", "text").count() == 0
     with pytest.raises(ValueError):
         pieces.plan_pieces("x", 10, 10)
@@ -119,13 +119,38 @@ def test_ids_offsets_and_decoding(spark):
         text = "a b" if r.doc_id is None else TEXTS[r.doc_id]
         assert r.ids == library.encode(text or "", add_special_tokens=False).ids
         assert tokens.decode(r.ids) == (text or "")
-        at = tokens.token_offsets(text or "")
-        assert sum(n for _, n in at) == len(text or "") and [a for a, _ in at] == [sum(n for _, n in at[:i]) for i in range(len(at))]
     back = {r.doc_id: r.text for r in tokens.decode_ids(ids, "doc_id", "ids").collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(TEXTS))
     counts = {r.doc_id: r.n_tokens for r in tokens.token_counts(df, "doc_id", "text").collect()}
     assert counts == {r.doc_id: len(r.ids) for r in rows}
     assert tokens.encode_texts(df.limit(0), "doc_id", "text").count() == 0
+    for r in tokens.token_offsets(df, "doc_id", "text").collect():
+        text, at = "a b" if r.doc_id is None else TEXTS[r.doc_id] or "", r.spans
+        assert len(at) == counts[r.doc_id] and sum(x.length for x in at) == len(text)
+        assert [x.start for x in at] == [sum(y.length for y in at[:i]) for i in range(len(at))]
+
+
+@needs_vocabulary
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"ab1'. \n\t\r-é中٣½²\x1c\x85\xa0\u2028\u180e\u3000\u200b😀Ⅷ_\U0001e030", "'s", "'re", "  "]), max_size=12).map("".join))
+def test_chunks_give_the_librarys_ids(text):
+    ids, ends = tokens.encoder(tokens.TOKENIZER).ragged([text, None, text])
+    whole = tokens._library(tokens.TOKENIZER).encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == whole * 2 and ends.tolist() == [0, len(whole), len(whole), 2 * len(whole)]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = {c: i for i, c in enumerate("abĠĊ")} | {"ab": 4, "Ġa": 5}
+    for name, cut in (("prefixed", pre_tokenizers.ByteLevel(add_prefix_space=True)), ("uncut", pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)), ("usual", pre_tokenizers.ByteLevel(add_prefix_space=False))):
+        made = Tokenizer(models.BPE(vocabulary, [("a", "b"), ("Ġ", "a")]))
+        made.pre_tokenizer = cut
+        path = str(tmp_path / f"{name}.json")
+        made.save(path)
+        assert tokens.cuts_at_blanks(path) is (name == "usual")
+        for text in ("ab ab", " a  b", "a\n ab", ""):
+            assert tokens.Encoder(path).ragged([text])[0].tolist() == made.encode(text, add_special_tokens=False).ids
 
 
 @needs_vocabulary
@@ -138,14 +163,10 @@ def test_corpus_ids(spark, data):
 
 @needs_vocabulary
 def test_memo_survives_being_emptied(monkeypatch):
-    monkeypatch.setattr(tokens._Memo, "LIMIT", 2)
-    import pyarrow as pa
-
-    memo = tokens._Memo(tokens.TOKENIZER)
-    for words in (["a", " b", "c"], ["a", "d"], ["zzzz", " b"]):
-        sizes, starts = tokens._gather(memo, pa.array(words))
-        got = [memo.flat[s : s + n].tolist() for s, n in zip(starts, sizes, strict=True)]
-        assert got == [tokens._library(tokens.TOKENIZER).encode(w, add_special_tokens=False).ids for w in words]
+    monkeypatch.setattr(tokens.Encoder, "LIMIT", 2)
+    own = tokens.Encoder(tokens.TOKENIZER)
+    for text in ("a b c", "a d", "zzzz b", "a b c"):
+        assert own.ragged([text])[0].tolist() == tokens._library(tokens.TOKENIZER).encode(text, add_special_tokens=False).ids
 
 
 # --- containers -------------------------------------------------------------------------------
@@ -183,5 +204,17 @@ def test_neighbours_fill_the_window():
 
     bags = [packing._bag(np.array(t, np.int32)) for t in ([1, 2, 3, 4], [9, 8, 7], [1, 2, 3], [70_000, 8, 7])]
     idf = np.ones(70_001, np.float32)
-    found = packing.fill(np.array([4, 3, 3, 3]), bags, idf, 3.0, capacity=7)
-    assert sorted(map(sorted, found)) == [[0, 2], [1, 3]]
+    choices = []
+    found = packing.fill(np.array([4, 3, 3, 3]), bags, idf, 3.0, capacity=7, choices=choices)
+    assert sorted(map(sorted, found)) == [[0, 2], [1, 3]] and choices[0] > 1
+
+
+def test_space_left_behind_each_item():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        sizes = rng.integers(1, 12, rng.integers(1, 9))
+        room, have = 12, np.bincount(sizes, minlength=13)
+        least = [min([room - a, *(room - a - b for j, b in enumerate(sizes) if j != i and b <= room - a)]) for i, a in enumerate(sizes)]
+        assert packing._unused(sizes, have, room).tolist() == least
