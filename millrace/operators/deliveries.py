@@ -1,15 +1,18 @@
 """Messages delivered more than once: exactly one arrival of each stays.
 
 Identifiers are dictionary-encoded exactly: each gets a shard (a hash of the identifier) and a dense
-ordinal within the shard. What has been seen is a set of bits, one per ordinal, kept as bitmaps of
-32,768 bits sharded by (shard, bucket) and compressed in Parquet. A batch keeps, of each identifier
-whose bit is unset, the arrival that stands first; then the batch's bits are united with the old
-ones in a new version of the ledger, which becomes current by one atomic rename.
+ordinal within the shard. What has been seen is one bit an ordinal, in bitmaps of 64 bits sharded by
+(shard, word) and compressed in Parquet. A batch first extends the dictionary, then keeps, of each
+identifier whose bit is unset, the arrival that stands first, and unites its bits with the old ones. Both
+steps become visible by making one numbered state file, which only one writer can: whoever comes second
+looks again at what the first has changed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-BUCKET_BITS = 32768  # bits of one bitmap, as bitmap_construct_agg builds them
+WORD = 64  # bits of one bitmap
+SEGMENTS = 8  # parts of the dictionary that are read together; more are merged into one
+KEYS_OF_SHARD = 250_000  # identifiers of a shard in the first batch
+KEEP_STATES = 8  # states whose files a slower reader may still need
 
 
 def message_key(message_id: Column, epoch: Column, storage_commit: Column) -> Column:
@@ -51,49 +57,147 @@ def sharded_ordinals(keys: DataFrame, key: str, shards: int, base: DataFrame | N
     )
 
 
+class _Taken(Exception):
+    """Another writer has made the next state."""
+
+
 class DeliveryLedger:
     """What has been delivered so far, in a folder that all executors share.
 
-    ``versions/<name>/`` holds ``dictionary`` (key, shard, ordinal), ``bits`` (shard, bucket, bitmap)
-    and ``kept`` of the batch that made it; the file ``CURRENT`` names the valid chain. A batch that
-    fails before the rename leaves the ledger as it was, so it can simply run again.
+    ``states/<n>`` is JSON: the dictionary's segments (key, shard, ordinal), how many ordinals each shard has used
+    (shard, used), the bitmaps (shard, word, seen), and the batch that made it. The highest number counts.
+    A batch that fails leaves at most identifiers whose bits are unset, so it can simply run again.
+
+    An identifier seen for the first time costs one dictionary row; a batch reads the dictionary once, as
+    at most ``SEGMENTS`` sorted parts, and the bitmaps, which are about a thousandth of it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, shards: int = 64):
+    def __init__(self, spark: SparkSession, path: str, shards: int | None = None):
         self.spark, self.path, self.shards = spark, path.rstrip("/"), shards
-        jvm = spark._jvm
-        self._fs_path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _state(self) -> dict:
-        current = self._fs_path(f"{self.path}/CURRENT")
-        if not self._fs.exists(current):
-            return {"shards": self.shards, "versions": [], "batches": []}
-        stream = self._fs.open(current)
+    # --- states
+
+    def _load(self, path: str) -> str:
+        stream = self._fs.open(self._at(path))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
-    def _commit(self, state: dict) -> None:
-        new = self._fs_path(f"{self.path}/CURRENT.{uuid.uuid4().hex}")
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps(state).encode()))
+    def _save(self, path: str, text: str, new: bool = False) -> None:
+        """Writes a small file that appears at once; a ``new`` one may not be there yet."""
+        draft = self._at(f"{path}.{uuid.uuid4().hex}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(text.encode()))
         out.close()
-        options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            new.toUri() if new.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration()
-        )
-        gateway = self.spark.sparkContext._gateway
-        flags = gateway.new_array(options, 1)
-        flags[0] = options.OVERWRITE
-        context.rename(new, self._fs_path(f"{self.path}/CURRENT"), flags)
-
-    def _read(self, name: str, kind: str, schema: T.StructType | str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/versions/{name}/{kind}")
+        if self._fs.getUri().getScheme() == "file":
+            source, target = draft.toUri().getPath(), self._at(path).toUri().getPath()
+            try:
+                (os.link if new else os.replace)(source, target)
+            except FileExistsError as e:
+                raise _Taken from e
+            finally:
+                if os.path.exists(source):
+                    self._fs.delete(draft, False)
+            return
+        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        flags = self.spark.sparkContext._gateway.new_array(rename, 1)
+        flags[0] = rename.NONE if new else rename.OVERWRITE
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(draft, self._at(path), flags)
+        except Exception as e:  # the file system says that the target exists
+            if new and self._fs.exists(self._at(path)):
+                self._fs.delete(draft, False)
+                raise _Taken from e
+            raise
+
+    def _state(self) -> dict:
+        folder = self._at(f"{self.path}/states")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        numbers = [int(n) for n in names if n.isdigit()]
+        if not numbers:
+            return {"n": 0, "shards": self.shards, "dictionary": [], "used": None, "bits": None, "batch": None, "kept": None, "old": []}
+        return json.loads(self._load(f"{self.path}/states/{max(numbers):012d}"))
+
+    def _commit(self, state: dict, **changes) -> dict:
+        """The next state, made by this writer alone; raises ``_Taken`` if another one was faster."""
+        new = state | {"batch": None, "kept": None} | changes
+        new["n"] = state["n"] + 1
+        gone = [p for p in [*state["dictionary"], state["used"], state["bits"]] if p and p not in [*new["dictionary"], new["used"], new["bits"]]]
+        new["old"] = [*state["old"], *([new["n"], p] for p in gone)]
+        expired = [p for n, p in new["old"] if n <= new["n"] - KEEP_STATES]
+        new["old"] = [x for x in new["old"] if x[1] not in expired]
+        self._fs.mkdirs(self._at(f"{self.path}/states"))
+        self._save(f"{self.path}/states/{new['n']:012d}", json.dumps(new), new=True)
+        for p in [*expired, f"{self.path}/states/{new['n'] - KEEP_STATES:012d}"]:
+            self._fs.delete(self._at(p), True)
+        return new
+
+    def _mark(self, batch: str) -> str:
+        return f"{self.path}/batches/{hashlib.sha1(batch.encode()).hexdigest()}"
+
+    def _done(self, state: dict, batch: str) -> str | None:
+        """Where the rows are that a batch kept when it was applied before. Costs the same however many there were."""
+        if state["batch"] == batch:
+            return state["kept"]
+        mark = self._mark(batch)
+        return self._load(mark) if self._fs.exists(self._at(mark)) else None
+
+    # --- tables
 
     _DICTIONARY = "key string, shard int, ordinal bigint"
-    _BITS = "shard int, bucket bigint, bitmap binary"
+    _USED = "shard int, used bigint"
+    _BITS = "shard int, word bigint, seen bigint"
+
+    def _written(self, df: DataFrame, name: str) -> str:
+        path = f"{self.path}/tables/{name}-{uuid.uuid4().hex[:16]}"
+        df.write.option("compression", "zstd").parquet(path)
+        return path
+
+    def _read(self, paths: list[str] | str | None, schema: str | T.StructType) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*([paths] if isinstance(paths, str) else paths))
+
+    def dictionary(self) -> DataFrame:
+        return self._read(self._state()["dictionary"], self._DICTIONARY)
+
+    def bits(self) -> DataFrame:
+        return self._read(self._state()["bits"], self._BITS)
+
+    # --- batches
+
+    def _encode(self, firsts: str) -> tuple[dict, str]:
+        """(state, (key, rid, shard, ordinal) of all keys of a batch), the dictionary extended by those it lacks."""
+        while True:
+            state = self._state()
+            rows = self._read(firsts, self._firsts)
+            if not state["shards"]:
+                state["shards"] = max(8, -(-rows.count() // KEYS_OF_SHARD))
+            looked = rows.join(self._read(state["dictionary"], self._DICTIONARY), "key", "left")
+            coded = self._written(looked, "looked")
+            looked = self._read(coded, looked.schema)
+            if looked.where("ordinal is null").isEmpty():
+                return state, coded
+            used = self._read(state["used"], self._USED)
+            fresh = sharded_ordinals(looked.where("ordinal is null").select("key", "rid"), "key", state["shards"], used)
+            whole = self._written(looked.where("ordinal is not null").unionByName(fresh), "coded")
+            segment = self._written(fresh.select("key", "shard", "ordinal"), "dictionary")
+            self._fs.delete(self._at(coded), True)
+            more = self._read(segment, self._DICTIONARY).groupBy("shard").agg((F.max("ordinal") + 1).alias("used"))
+            now = self._written(used.unionByName(more).groupBy("shard").agg(F.max("used").alias("used")).coalesce(1), "used")
+            segments = [*state["dictionary"], segment]
+            if len(segments) > SEGMENTS:
+                segments = [self._written(self._read(segments, self._DICTIONARY).repartition("shard").sortWithinPartitions("shard", "key"), "dictionary")]
+                self._fs.delete(self._at(segment), True)
+            try:
+                return self._commit(state, dictionary=segments, used=now), whole
+            except _Taken:
+                for p in (whole, segment, now, *(segments if len(segments) == 1 else ())):
+                    self._fs.delete(self._at(p), True)
 
     def apply(self, batch: DataFrame, key: Column, order: list[Column], row_id: str, batch_id: str | None = None) -> DataFrame:
         """The ``row_id`` values of ``batch`` that stay; rows whose ``key`` is null all stay.
@@ -101,88 +205,68 @@ class DeliveryLedger:
         Of several arrivals of one key in the batch the first by ``order`` (then ``row_id``) stays, and
         none if the key was kept from an earlier batch. A ``batch_id`` applied before gives the same
         rows again and changes nothing. Columns of ``batch`` may have any names; nulls in ``order``
-        sort first; an empty batch keeps nothing.
+        sort first; an empty batch keeps nothing. Several writers may apply batches at once.
         """
+        kind = batch.schema[row_id].dataType
+        ids = T.StructType([T.StructField(row_id, kind)])
+        name = batch_id if batch_id is not None else uuid.uuid4().hex
         state = self._state()
-        shards = state["shards"]
-        ids = T.StructType([T.StructField(row_id, batch.schema[row_id].dataType)])
-        for name, done in state["batches"]:
-            if batch_id is not None and done == batch_id:
-                return self._read(name, "kept", ids)
-        version = uuid.uuid4().hex[:16]
-        at = f"{self.path}/versions/{version}"
-
-        arrivals = batch.select(
-            F.col(f"`{row_id}`").alias("rid"), key.alias("key"), F.struct(*order, F.col(f"`{row_id}`")).alias("ord")
-        )
+        if state["batch"] is not None and not self._fs.exists(self._at(self._mark(state["batch"]))):
+            self._save(self._mark(state["batch"]), state["kept"])  # its writer got no further
+        if (kept := self._done(state, name)) is not None:
+            return self._read(kept, ids)
+
+        arrivals = batch.select(F.col(f"`{row_id}`").alias("rid"), key.alias("key"), F.struct(*order, F.col(f"`{row_id}`")).alias("ord"))
         # partial aggregation runs before the shuffle, so a hot identifier costs one row a task
         firsts = arrivals.where("key is not null").groupBy("key").agg(F.min_by("rid", "ord").alias("rid"))
-        codes = None
-        if state["versions"]:
-            old = self._union([self._read(v, "dictionary", self._DICTIONARY) for v in state["versions"]])
-            used = old.groupBy("shard").agg((F.max("ordinal") + 1).alias("used"))
-            fresh = sharded_ordinals(firsts.join(old, "key", "left_anti"), "key", shards, used)
-            codes = fresh.unionByName(firsts.join(old, "key"))
-            bits = self._read(state["versions"][-1], "bits", self._BITS)
-        else:
-            fresh = codes = sharded_ordinals(firsts, "key", shards)
-            bits = None
-        codes = codes.withColumn("bucket", F.expr(f"ordinal div {BUCKET_BITS}")).withColumn("bit", F.expr(f"cast(ordinal % {BUCKET_BITS} as int)"))
-        coded = f"{at}/coded"
-        codes.select("key", "shard", "ordinal", "bucket", "bit", "rid").write.option("compression", "zstd").parquet(coded)
-        codes = self.spark.read.parquet(coded)
-        if bits is not None:
-            marked = codes.join(bits, ["shard", "bucket"], "left")
-            byte = "cast(conv(hex(substring(bitmap, bit div 8 + 1, 1)), 16, 10) as int)"
-            unseen = marked.where(F.expr(f"bitmap is null or (shiftright({byte}, bit % 8) & 1) = 0"))
-        else:
-            unseen = codes
-        unseen.select(F.col("rid").alias(row_id)).unionByName(
-            arrivals.where("key is null").select(F.col("rid").alias(row_id))
-        ).write.option("compression", "zstd").parquet(f"{at}/kept")
-
-        new_bits = codes.groupBy("shard", "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-        if bits is not None:
-            new_bits = bits.unionByName(new_bits).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-        new_bits.select("shard", "bucket", "bitmap").write.option("compression", "zstd").parquet(f"{at}/bits")
-        additions = codes if not state["versions"] else codes.join(self._union([self._read(v, "dictionary", self._DICTIONARY) for v in state["versions"]]).select("key"), "key", "left_anti")
-        additions.select("key", "shard", "ordinal").write.option("compression", "zstd").parquet(f"{at}/dictionary")
-        self._fs.delete(self._fs_path(coded), True)
-
-        self._commit(
-            {
-                "shards": shards,
-                "versions": [*state["versions"], version],
-                "batches": [*state["batches"], [version, batch_id if batch_id is not None else version]],
-            }
-        )
-        return self._read(version, "kept", ids)
-
-    @staticmethod
-    def _union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-
-def kept_deliveries(batch: DataFrame, key: Column, order: list[Column], row_id: str, path: str, shards: int = 64) -> DataFrame:
-    """One batch against a fresh ledger at ``path``: the ``row_id`` values of the rows that stay."""
-    return DeliveryLedger(batch.sparkSession, path, shards).apply(batch, key, order, row_id)
-
-
-def kept_mails(mails: DataFrame, path: str, shards: int = 64) -> DataFrame:
-    """The ``mail_id`` of each mail's row with the lowest (epoch, seq)."""
-    return kept_deliveries(
-        mails,
-        message_key(F.col("message_id"), F.col("epoch"), F.col("storage_commit")),
-        [F.col("epoch"), F.col("seq")],
-        "mail_id",
-        path,
-        shards,
-    )
+        self._firsts = firsts.schema
+        staged = self._written(firsts, "firsts")
+        state, coded = self._encode(staged)
+        coded_schema = f"key string, rid {kind.simpleString()}, shard int, ordinal bigint"
+        while True:
+            codes = self._read(coded, coded_schema).withColumn("word", F.expr(f"ordinal div {WORD}")).withColumn("bit", F.expr(f"cast(ordinal % {WORD} as int)"))
+            bits = self._read(state["bits"], self._BITS)
+            unseen = codes.join(bits, ["shard", "word"], "left").where("seen is null or (shiftright(seen, bit) & 1) = 0")
+            stay = unseen.select(F.col("rid").alias(row_id)).unionByName(arrivals.where("key is null").select(F.col("rid").alias(row_id)))
+            kept = self._written(stay, "kept")
+            fresh = codes.groupBy("shard", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("seen"))
+            united = bits.unionByName(fresh).groupBy("shard", "word").agg(F.bit_or("seen").alias("seen"))
+            bitmaps = self._written(united.sortWithinPartitions("shard", "word"), "bits")
+            try:
+                self._commit(state, bits=bitmaps, batch=name, kept=kept)
+                break
+            except _Taken:
+                for p in (kept, bitmaps):
+                    self._fs.delete(self._at(p), True)
+                state = self._state()
+                if (other := self._done(state, name)) is not None:  # the same batch, applied by another writer
+                    return self._read(other, ids)
+        self._save(self._mark(name), kept)
+        for p in (staged, coded):
+            self._fs.delete(self._at(p), True)
+        return self._read(kept, ids)
+
+
+MAIL_ORDER = ("epoch", "seq")
+
+
+def kept_mails(mails: DataFrame, path: str, shards: int | None = None) -> DataFrame:
+    """The ``mail_id`` of each mail's row with the lowest (epoch, seq), through a ledger at ``path``.
+
+    Each epoch is a batch, in their order, so that the arrival that a bit lets through is also the lowest.
+    (A ledger that is fed in another order keeps the first that arrived.) An archive has a handful of
+    epochs, each a repository of its own; their numbers are all that the driver learns.
+    """
+    ledger = DeliveryLedger(mails.sparkSession, path, shards)
+    key = message_key(F.col("message_id"), F.col("epoch"), F.col("storage_commit"))
+    numbers = sorted((r["epoch"] for r in mails.select("epoch").distinct().collect()), key=lambda e: (e is not None, e))
+    kept = mails.select("mail_id").limit(0)
+    for e in numbers:
+        own = mails.where(F.col("epoch").isNull() if e is None else F.col("epoch") == e)
+        kept = kept.unionAll(ledger.apply(own, key, [F.col(c) for c in MAIL_ORDER], "mail_id", f"epoch {e}"))
+    return kept
 
 
-def repeated_mails(mails: DataFrame, path: str, shards: int = 64) -> DataFrame:
+def repeated_mails(mails: DataFrame, path: str, shards: int | None = None) -> DataFrame:
     """The ``mail_id`` of every row to drop."""
     return mails.select("mail_id").join(kept_mails(mails, path, shards), "mail_id", "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.operators.deliveries import DeliveryLedger, message_key
 
 
-def keep_once(mails: DataFrame, ledger: str, out: str, checkpoint: str, shards: int = 64) -> StreamingQuery:
+def keep_once(mails: DataFrame, ledger: str, out: str, checkpoint: str, shards: int | None = None) -> StreamingQuery:
     """Appends the first arrival of each streamed mail to ``out`` (Parquet), available rows only, then ends.
 
     A repeated micro-batch is recognised by its number: the ledger gives the same rows again and the output

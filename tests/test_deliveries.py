@@ -1,10 +1,13 @@
 import itertools
+import os
 import random
+import threading
 
+import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from millrace.operators.deliveries import DeliveryLedger, kept_mails, message_key, repeated_mails
+from millrace.operators.deliveries import KEEP_STATES, SEGMENTS, DeliveryLedger, kept_mails, message_key, repeated_mails
 from millrace.plans.general import SQL, p3_found
 from millrace.session import work_path
 
@@ -56,28 +59,72 @@ def test_batches_union_their_bits(spark):
         assert kept == want
         again = {r.mail_id for r in ledger.apply(df, key, [F.col("epoch"), F.col("seq")], "mail_id", str(batch)).collect()}
         assert again == kept  # the same batch number changes nothing
-    state = ledger._state()
-    codes = [(r.shard, r.ordinal) for v in state["versions"] for r in ledger._read(v, "dictionary", ledger._DICTIONARY).collect()]
+    codes = [(r.shard, r.ordinal) for r in ledger.dictionary().collect()]
     assert len(codes) == len(set(codes)) == len(seen)
     for _, group in itertools.groupby(sorted(codes), lambda c: c[0]):
         ordinals = [o for _, o in group]
         assert ordinals == list(range(len(ordinals)))  # dense in each shard
-    bits = ledger._read(state["versions"][-1], "bits", ledger._BITS)
-    assert bits.agg(F.sum(F.bitmap_count("bitmap"))).first()[0] == len(seen)
+    assert ledger.bits().agg(F.sum(F.bit_count("seen"))).first()[0] == len(seen)
 
 
-def test_a_batch_that_fails_leaves_the_ledger_as_it_was(spark):
+def test_the_bit_decides(spark):
     ledger = DeliveryLedger(spark, work_path(spark, "ledger"), shards=2)
-    df = spark.createDataFrame([(1, 0, 1, "a", "x"), (2, 0, 2, "b", "y")], SCHEMA)
+    df = spark.createDataFrame([(1, 0, 1, "a", "x"), (2, 0, 2, "b", "y"), (3, 0, 3, "b", None)], SCHEMA)
     key = F.col("message_id")
-    commit, ledger._commit = ledger._commit, lambda state: (_ for _ in ()).throw(OSError("lost"))
-    try:
+    commit, calls = ledger._commit, []
+
+    def lost(state, **changes):
+        calls.append(sorted(changes))
+        if "bits" in changes:
+            raise OSError("lost")
+        return commit(state, **changes)
+
+    ledger._commit = lost
+    with pytest.raises(OSError):
         ledger.apply(df, key, [F.col("seq")], "mail_id", "0")
-    except OSError:
-        pass
     ledger._commit = commit
-    assert ledger._state()["versions"] == []
-    assert ledger.apply(df, key, [F.col("seq")], "mail_id", "0").count() == 2
+    # the dictionary knows both identifiers, no bit is set: both stay when the batch runs again
+    assert ledger.dictionary().count() == 2 and ledger.bits().count() == 0
+    assert {r.mail_id for r in ledger.apply(df, key, [F.col("seq")], "mail_id", "0").collect()} == {1, 2, 3}
+    assert {r.mail_id for r in ledger.apply(df, key, [F.col("seq")], "mail_id", "1").collect()} == {3}
+    # a bit that is cleared by hand lets its identifier through again
+    state = ledger._state()
+    x = ledger.dictionary().where("key = 'x'").first()
+    cleared = ledger.bits().withColumn("seen", F.when((F.col("shard") == x.shard) & (F.col("word") == x.ordinal // 64), F.expr(f"seen & ~shiftleft(1L, {x.ordinal % 64})")).otherwise(F.col("seen")))
+    ledger._commit(state, bits=ledger._written(cleared, "bits"))
+    assert {r.mail_id for r in ledger.apply(df.where("mail_id < 3"), key, [F.col("seq")], "mail_id", "2").collect()} == {1}
+
+
+def test_two_writers_lose_nothing(spark):
+    path = work_path(spark, "ledger")
+    rows = {w: [(100 * w + i, 0, i, "c", f"m{(i * (w + 1)) % 25}") for i in range(20)] for w in range(3)}
+    kept: dict[int, set] = {}
+
+    def write(w):
+        df = spark.createDataFrame(rows[w], SCHEMA)
+        kept[w] = {r.mail_id for r in DeliveryLedger(spark, path, 2).apply(df, F.col("message_id"), [F.col("seq")], "mail_id", f"w{w}").collect()}
+
+    threads = [threading.Thread(target=write, args=(w,)) for w in rows]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    of = {r[0]: r[4] for own in rows.values() for r in own}
+    stayed = [of[i] for own in kept.values() for i in own]
+    assert len(kept) == 3 and sorted(stayed) == sorted(set(of.values()))  # one row of each identifier
+
+
+def test_the_dictionary_is_merged_and_old_files_go(spark):
+    path = work_path(spark, "ledger")
+    ledger = DeliveryLedger(spark, path, 2)
+    for n in range(11):
+        df = spark.createDataFrame([(2 * n, 0, 0, "c", f"a{n}"), (2 * n + 1, 0, 1, "c", "again")], SCHEMA)
+        assert ledger.apply(df, F.col("message_id"), [F.col("seq")], "mail_id", str(n)).count() == (2 if n == 0 else 1)
+    state = ledger._state()
+    assert len(state["dictionary"]) <= SEGMENTS and ledger.dictionary().count() == 12
+    folder = path.removeprefix("file://")
+    assert len(os.listdir(f"{folder}/states")) <= 2 * KEEP_STATES + 2
+    assert {r.mail_id for r in ledger.apply(df, F.col("message_id"), [F.col("seq")], "mail_id", "3").collect()} == {6}
 
 
 def test_empty_table(spark):
