@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from datetime import datetime
 from functools import partial
 from pathlib import Path
 
@@ -21,7 +22,7 @@ from millrace.plans import pipeline
 from millrace.session import clear_work, local_session, written
 from millrace.sources import files, git
 
-_ERRORS = (C.SettingsError, hashlist.HashListError, rules.RuleError, git.GitError, analysis.AnalysisError, ValueError, OSError)
+_ERRORS = (C.SettingsError, hashlist.HashListError, rules.RuleError, git.GitError, analysis.CallFailed, ValueError, OSError)
 
 
 def _settings(argv: list[str]) -> C.Settings:
@@ -109,14 +110,11 @@ def analyze_options(argv: list[str], s: C.Settings) -> argparse.Namespace:
 
 def extract(spark: SparkSession, argv: list[str]) -> int:
     args = extract_options(argv, _settings(argv))
-    messages = written(git.read_archive(spark, str(args.inbox_dir)), "messages")
-    commits = None
+    resolver = None
     if args.prefer_mainline:
         git.check_work_tree(args.linux_dir)
-        every = pipeline.extract(messages, None, prefer_known=False)
-        reported = every.mails.select(F.explode("fixes.reported_hash").alias("reported_hash"))
-        commits = written(pipeline.known_in_repository(spark, str(args.linux_dir), reported), "known")
-    found = pipeline.extract(messages, commits, args.prefer_mainline, args.fallback_to_all)
+        resolver = partial(git.resolve_in_repository, ref="reported_hash", folder=str(args.linux_dir))
+    found = pipeline.extract(git.read_archive(spark, str(args.inbox_dir)), None, args.prefer_mainline, args.fallback_to_all, resolver=resolver)
     mails, candidates = written(found.mails, "mails"), written(found.candidates, "candidates")
     files.write_lines(candidates, "output_hash", ["epoch", "seq", "fix_idx"], args.output_file)
     columns = [c for c in mails.columns if c != "seq"]
@@ -142,44 +140,54 @@ def filter_(spark: SparkSession, argv: list[str]) -> int:
     return int(counts["exit_code"])
 
 
-def _chat(key: str, url: str, model: str, max_tokens: int) -> analysis.ChatAnalyzer:
-    return analysis.ChatAnalyzer(analysis.chat_client(key, url), model, max_tokens)
+def _endpoint(url: str, key: str, name: str, max_tokens: int) -> analysis.Model:
+    return analysis.patient(analysis.Endpoint(url, key, name, max_tokens))
 
 
-def analyze(spark: SparkSession, argv: list[str], make_analyzer=None) -> int:
-    """``make_analyzer`` replaces the chat client, for other models and for tests."""
+_RESULT = "input_index bigint, requested_hash string, hash string, subject string, author string, date string, analysis string, error string"
+
+
+def analyze(spark: SparkSession, argv: list[str], make_model=None) -> int:
+    """``make_model`` replaces the endpoint, for other models and for tests.
+
+    Hashes are resolved first, and only commits without a finished report are read and asked about.
+    """
     s = _settings(argv)
     args = analyze_options(argv, s)
     git.check_work_tree(args.linux_dir)
     listed = hashlist.read_hash_list(spark, str(args.hashes_file))
     context = files.read_context(args.context_md)
-    chosen = hashlist.index_slice(listed, args.start_index, args.end_index)
+    chosen = written(hashlist.index_slice(listed, args.start_index, args.end_index), "chosen")
     if chosen.isEmpty():
         print("no commits in the slice; no model was called")
         return 0
-    commits = git.read_commits(chosen, str(args.linux_dir), args.max_diff_chars, True, args.workers)
-    commits = written(commits, "commits")
-    named = commits.select("input_index", "requested_hash", F.when(F.col("error") == "", F.col("hash")).otherwise("").alias("canonical_hash"))
-    reports = files.read_reports(spark, str(args.outdir))
-    pending, reused, failed = resume.split_work(named, reports, args.force)
-    pending = written(pending, "pending")
-    analysed = spark.createDataFrame([], "input_index bigint, requested_hash string, hash string, subject string, author string, date string, analysis string, error string")
-    if not pending.isEmpty():  # the key is asked for only if there is something to do
-        if make_analyzer is None:
+    resolved = git.resolve_in_repository(chosen, "requested_hash", str(args.linux_dir)).withColumnRenamed("requested_hash", "__asked")
+    named = chosen.join(resolved, F.lower("requested_hash") == F.col("__asked"), "left").drop("__asked")
+    named = written(named.withColumn("canonical_hash", X.given(F.col("canonical_hash"))), "named")
+    pending, reused, failed = resume.split_work(named, files.read_reports(spark, str(args.outdir)), args.force)
+    pending, reused = written(pending, "pending"), written(reused, "reused")
+    counts = resume.work_counts(pending, reused, failed).first()
+    print(f"selected {counts['selected']}, reused {counts['reused']}, unresolved {counts['failed']}, to be asked about {counts['pending']}")
+    analysed = spark.createDataFrame([], _RESULT)
+    made_at = datetime.now().astimezone().isoformat(timespec="seconds")
+    if counts["pending"]:  # the key is asked for only if there is something to do
+        if make_model is None:
             key = C.api_key(args.api_key, args.api_key_file)
             url = C.setting(args.base_url, "OPENAI_BASE_URL", s.openai.base_url or "")
             model = C.setting(args.model, "OPENAI_MODEL", s.openai.model or "")
             if not url or not model:
                 raise C.SettingsError("base_url and model are needed")
-            make_analyzer = partial(_chat, key, url, model, args.max_tokens)
-        todo = commits.join(resume.once_per_commit(pending).select("input_index"), "input_index", "left_semi")
+            make_model = partial(_endpoint, url, key, model, args.max_tokens)
+        todo = resume.once_per_commit(pending).select("input_index", F.col("canonical_hash").alias("requested_hash"))
+        commits = git.read_commits(todo, str(args.linux_dir), args.max_diff_chars, True, args.workers)
         evidence = files.read_text_files(spark, str(args.evidence_dir)) if args.evidence_dir else None
-        analysed = written(analysis.analyse(resume.with_evidence(todo, evidence), make_analyzer, context, args.workers), "analysed")
+        args.outdir.mkdir(parents=True, exist_ok=True)
+        analysed = written(analysis.analyse(resume.with_evidence(commits, evidence), make_model, context, args.workers, str(args.outdir), made_at), "analysed")
     results = written(resume.in_input_order(named, analysed, reused, failed), "results")
-    fresh = results.where(F.col("analysis") != X.REUSED_NOTE)
-    made = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
-    rendered = fresh.dropDuplicates(["hash"]).select(X.report_name(F.col("hash")).alias("name"), X.render_report(*[F.col(c) for c in ("hash", "subject", "author", "date", "analysis", "error")], made).alias("content"))
-    files.write_reports(rendered, args.outdir)
+    # answers are reports already; what could not even be resolved gets its report here
+    fields = [F.col(c) for c in ("hash", "subject", "author", "date", "analysis", "error")]
+    rendered = results.join(failed.select("input_index"), "input_index", "left_semi").dropDuplicates(["hash"])
+    files.write_reports(rendered.select(X.report_name(F.col("hash")).alias("name"), X.render_report(*fields, F.lit(made_at)).alias("content")), args.outdir)
     lines = results.orderBy("input_index").select(X.render_index_line(F.col("hash"), F.col("subject"), F.col("error")).alias("line"))
     files.write_atomically(args.outdir / "index.md", ["# Index of analysed commits\n\n", *(f"{r[0]}\n" for r in lines.toLocalIterator())])
     counts = resume.result_counts(results).first()
@@ -205,5 +213,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, **mor
         clear_work(spark)
 
 
+def extract_main() -> int:
+    return main(["extract", *sys.argv[1:]])
+
+
+def filter_main() -> int:
+    return main(["filter", *sys.argv[1:]])
+
+
+def analyze_main() -> int:
+    return main(["analyze", *sys.argv[1:]])
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -5,10 +5,13 @@ Missing text is the empty string at every boundary, so all functions treat null
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's idea of white space and of line ends, in Java's notation
+# Python's idea of white space and of line ends, and the patterns of identifiers and references.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
@@ -25,7 +28,7 @@ def given(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(given(text), rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(given(text), F.lit(BLANKS))
 
 
 def lines(text: Column) -> Column:
@@ -116,16 +119,36 @@ def report_name(hash_: Column) -> Column:
     return F.concat(given(hash_), F.lit(".md"))
 
 
+# a report's text; the names in braces are filled in
+REPORT = f"{{mark}}\n# {{hash}}\n\n- **Author**: {{author}}\n- **Date**: {{date}}\n{TITLE_BULLET} {{subject}}\n\n{ANALYSIS_HEADING}\n\n{{text}}{END_RULE}\n*Made: {{made_at}}*\n"
+FAILED_TEXT = "Processing failed: "
+
+
 def render_report(hash_: Column, subject: Column, author: Column, date: Column, analysis: Column, error: Column, made_at: Column) -> Column:
     """The Markdown report of one result; an error makes it a failure."""
     failed = given(error) != ""
-    return F.concat(
-        F.when(failed, F.lit(FAILURE_MARK)).otherwise(F.lit(SUCCESS_MARK)),
-        F.lit("\n# "), given(hash_),
-        F.lit("\n\n- **Author**: "), given(author), F.lit("\n- **Date**: "), given(date), F.lit(f"\n{TITLE_BULLET} "), given(subject),
-        F.lit(f"\n\n{ANALYSIS_HEADING}\n\n"), F.when(failed, F.concat(F.lit("Processing failed: "), error)).otherwise(given(analysis)),
-        F.lit(f"{END_RULE}\n*Made: "), given(made_at), F.lit("*\n"),
-    )
+    values = {
+        "mark": F.when(failed, F.lit(FAILURE_MARK)).otherwise(F.lit(SUCCESS_MARK)),
+        "text": F.when(failed, F.concat(F.lit(FAILED_TEXT), error)).otherwise(given(analysis)),
+        "hash": given(hash_), "author": given(author), "date": given(date), "subject": given(subject), "made_at": given(made_at),
+    }
+    return F.concat(*[values[x[1:-1]] if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", REPORT) if x])
+
+
+def report_text(result: dict, made_at: str) -> str:
+    """``render_report`` of one row outside of a plan."""
+    own = {k: result.get(k) or "" for k in ("hash", "author", "date", "subject")}
+    failed = result.get("error")
+    return REPORT.format(mark=FAILURE_MARK if failed else SUCCESS_MARK, text=FAILED_TEXT + failed if failed else result.get("analysis") or "", made_at=made_at, **own)
+
+
+def saved_answer(report: str, made_at: str) -> str | None:
+    """The answer in a successful report of the run ``made_at``, or null."""
+    end = f"{END_RULE}\n*Made: {made_at}*\n"
+    start = report.find(f"\n{ANALYSIS_HEADING}\n\n")
+    if not made_at or start < 0 or not report.startswith(SUCCESS_MARK) or not report.endswith(end):
+        return None
+    return report[start + len(ANALYSIS_HEADING) + 3 : -len(end)]
 
 
 def render_index_line(hash_: Column, subject: Column, error: Column) -> Column:
@@ -155,8 +178,13 @@ def subject_in_report(report: Column) -> Column:
     return strip(F.regexp_extract(given(report), rf"(?md)^\Q{TITLE_BULLET}\E([^\n\r]*)", 1))
 
 
+# HTTP statuses (besides all of 500 to 599) and signs in messages after which a call may be tried again.
+RETRY_STATUSES = (408, 409, 429)
+RETRY_SIGNS = ("429", "rate limit", "timeout", "connection", "http 5")
+
+
 def is_retryable(status: Column, message: Column) -> Column:
     """Whether a failed call may be tried again: by its status if there is one, else by its message."""
-    by_status = status.isin(408, 409, 429) | status.between(500, 599)
-    by_text = F.lower(given(message)).rlike("429|rate limit|timeout|connection|http 5")
+    by_status = status.isin(*RETRY_STATUSES) | status.between(500, 599)
+    by_text = F.lower(given(message)).rlike("|".join(RETRY_SIGNS))
     return F.when(status.isNotNull(), by_status).otherwise(by_text)

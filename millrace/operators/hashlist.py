@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.text import is_hash, lines, strip
-from millrace.session import written
+from millrace.functions.text import LINE_END, is_hash, lines, strip
+from millrace.session import uri, written
 
 
 class HashListError(ValueError):
@@ -48,18 +48,33 @@ def token_lines(df: DataFrame, text: str) -> DataFrame:
     return found.where((F.col("token") != "") & ~F.col("token").startswith("#"))
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, line) of a text file, read in as many tasks as it has blocks; ``at`` sorts the lines as they stand.
+
+    A byte order mark is dropped. Lines end where Python's ``splitlines`` ends them.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("no"), "value")
+    bare = F.when((F.col("block") == 0) & F.col("value").startswith("\ufeff"), F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    # a line that ends where the file ends is one line, an empty one included
+    split = read.select("block", "no", F.posexplode(F.split(bare, LINE_END, -1)).alias("part", "line"))
+    return split.select(F.struct("block", "no", "part").alias("at"), "line")
+
+
 def read_hash_list(spark: SparkSession, path: str) -> DataFrame:
     """(input_index, requested_hash) of a hash file, in its order.
 
     Hashes that differ only in case count once, with the spelling that stands first. A line that is
     no hash makes the whole file an error that names the line; so does a file without hashes.
     """
-    tokens = token_lines(spark.read.text(path, wholetext=True), "value")
-    wrong = tokens.where(~is_hash(F.col("token"))).orderBy("pos").limit(1).collect()
-    if wrong:
-        raise HashListError(f"{path}, line {wrong[0]['pos'] + 1}: not a hash: {wrong[0]['token']!r}")
-    firsts = first_of_each(tokens, F.lower("token"), [F.col("pos")])
-    out = dense_index(firsts.select("pos", F.col("token").alias("requested_hash")), ["pos"], "input_index").select("input_index", "requested_hash")
+    every = file_lines(spark, uri(path)).select("at", strip(F.col("line")).alias("token"))
+    tokens = every.where((F.col("token") != "") & ~F.col("token").startswith("#"))
+    wrong = tokens.where(~is_hash(F.col("token"))).agg(F.min_by("token", "at").alias("token"), F.min("at").alias("at")).first()
+    if wrong["at"] is not None:
+        place = F.struct(*[F.lit(wrong["at"][n]).alias(n) for n in ("block", "no", "part")])
+        number = every.where(F.col("at") <= place).count()
+        raise HashListError(f"{path}, line {number}: not a hash: {wrong['token']!r}")
+    firsts = first_of_each(tokens, F.lower("token"), [F.col("at")])
+    out = dense_index(firsts.select("at", F.col("token").alias("requested_hash")), ["at"], "input_index").select("input_index", "requested_hash")
     if out.isEmpty():
         raise HashListError(f"{path} holds no hash")
     return out

@@ -59,6 +59,14 @@ def with_evidence(commits: DataFrame, evidence: DataFrame | None) -> DataFrame:
     return commits.join(best, F.col("hash") == F.col("__h"), "left").drop("__h").withColumn("evidence", X.given(F.col("evidence")))
 
 
+def work_counts(pending: DataFrame, reused: DataFrame, failed: DataFrame) -> DataFrame:
+    """(selected, pending, reused, failed) of a split: all requests, and how many of them went where."""
+    own = lambda part, name: part.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+    parts = own(pending, "pending").unionAll(own(reused, "reused")).unionAll(own(failed, "failed"))
+    each = [F.coalesce(F.sum(F.when(F.col("part") == p, F.col("n"))), F.lit(0)).alias(p) for p in ("pending", "reused", "failed")]
+    return parts.agg(F.sum("n").alias("selected"), *each)
+
+
 def result_counts(results: DataFrame) -> DataFrame:
     """(total, failures, exit_code)."""
     failures = F.count_if(X.given(F.col("error")) != "")

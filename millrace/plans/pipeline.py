@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
@@ -28,17 +29,23 @@ def first_mails(parsed: DataFrame) -> DataFrame:
     return first_of_each(parsed, own, [F.col("epoch"), F.col("seq")])
 
 
-def extract(messages: DataFrame, commits: DataFrame | None, prefer_known: bool = True, fall_back: bool = False, host: str = X.COMMIT_HOST) -> Extracted:
-    """Raw ``messages`` to candidates. ``commits`` (hash) is what counts as known; it is needed with ``prefer_known``."""
-    if prefer_known and commits is None:
-        raise ValueError("prefer_known needs commits")
+def extract(
+    messages: DataFrame, commits: DataFrame | None, prefer_known: bool = True, fall_back: bool = False, host: str = X.COMMIT_HOST,
+    resolver: Callable[[DataFrame], DataFrame] | None = None,
+) -> Extracted:
+    """Raw ``messages`` to candidates. With ``prefer_known`` either ``commits`` (hash), which are all that is known, or a
+    ``resolver``, from fixes (reported_hash) to (reported_hash, canonical_hash), says which references are in the repository.
+    """
+    if prefer_known and commits is None and resolver is None:
+        raise ValueError("prefer_known needs commits or a resolver")
     parsed = first_mails(parse_mails(messages))
     mails = parsed.withColumn("cve_ids", X.cve_ids(F.col("subject"), F.col("body"))).withColumn("mail", F.struct("epoch", "seq"))
     # several branches follow, so what parsing and extraction gave is written once; bodies aren't needed any more
     mails = written(mails.withColumn("refs", R.merged_in_row(F.col("body"), host)).drop("body"), "parsed-mails")
     fixes = mails.select("mail", F.posexplode("refs").alias("fix_idx", "f")).select("mail", "fix_idx", "f.*")
     mails = mails.drop("refs")
-    resolved = R.resolve(fixes, "reported_hash", commits) if prefer_known else None
+    resolver = resolver or (lambda f: R.resolve(f, "reported_hash", commits))
+    resolved = resolver(fixes) if prefer_known else None
     decided, marked = R.select_fixes(mails, R.attach(fixes, resolved), "mail", ["epoch", "seq"], prefer_known, fall_back)
     audit = R.audit(decided.withColumn("permalink", X.permalink(F.col("message_id"))), marked, "mail")
     emitted = marked.where("emitted").select(F.col("mail.epoch").alias("epoch"), F.col("mail.seq").alias("seq"), "fix_idx", "output_hash")
@@ -50,17 +57,3 @@ def numbered(candidates: DataFrame) -> DataFrame:
     """(input_index, requested_hash) of extracted candidates, in order of emission."""
     ranked = dense_index(candidates, ["epoch", "seq", "fix_idx"], "input_index")
     return ranked.select("input_index", F.col("output_hash").alias("requested_hash"))
-
-
-def known_in_repository(spark: SparkSession, folder: str, fixes: DataFrame) -> DataFrame:
-    """(hash) of the references that a work tree resolves, looked up in partitions with one process each."""
-    from millrace.sources.git import resolve_hashes
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = resolve_hashes(folder, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(set(found.values())), pa.string())], names=["hash"])
-
-    return fixes.select(F.lower("reported_hash").alias("h")).distinct().mapInArrow(run, "hash string").distinct()

@@ -115,9 +115,8 @@ def filter_case_sensitive(spark, folder):
 
 def filter_match_audit(spark, folder):
     found = _decided(spark, folder, fields=("diff", "files", "subject", "body"))
-    sides = [found.select("input_index", F.lit(s).alias("side"), F.posexplode(f"{s}_matches").alias("no", "m")) for s in ("include", "exclude")]
-    both = sides[0].unionAll(sides[1])
-    return both.select("input_index", "side", F.col("no").cast("bigint").alias("no"), F.col("m.pattern").alias("pattern"), F.array_join("m.fields", ",").alias("fields"))
+    side = lambda name: F.transform(f"{name}_matches", lambda m, i: F.struct(F.lit(name).alias("side"), i.cast("bigint").alias("no"), m["pattern"].alias("pattern"), F.array_join(m["fields"], ",").alias("fields")))
+    return found.select("input_index", F.explode(F.concat(side("include"), side("exclude"))).alias("m")).select("input_index", "m.*")
 
 
 def filter_python_pattern(spark, folder):
@@ -205,18 +204,25 @@ def select_summary(spark, folder):
     return _chosen(spark, folder)[0].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def mail_audit_flat(spark, folder):
-    mails, fixes = _chosen(spark, folder)
-    nested = R.audit(mails, fixes, "mail_id")
+def flat_audit(nested: DataFrame) -> DataFrame:
     one = F.transform("fixes", lambda f: F.concat_ws(":", f["reported_hash"], f["canonical_hash"], f["selected"].cast("string"), f["emitted"].cast("string")))
     return nested.select("mail_id", "status", "reason", F.array_join(one, ",").alias("fixes"))
 
 
-def evidence_join(spark, folder):
+def mail_audit_flat(spark, folder):
+    mails, fixes = _chosen(spark, folder)
+    return flat_audit(R.audit(mails, fixes, "mail_id"))
+
+
+def side_files(spark, folder) -> DataFrame:
+    """(name, content): a text file for each analysis, and a Markdown file, which comes first, for each failure."""
     results = table(spark, folder, "analysis_results")
-    side = results.select(F.concat("hash", F.lit(".txt")).alias("name"), F.col("analysis").alias("content"))
-    side = side.unionAll(results.where("error <> ''").select(F.concat("hash", F.lit(".md")), "error"))
-    found = resume.with_evidence(table(spark, folder, "commits").select("commit_id", "hash"), side)
+    side = results.select(F.concat("hash", F.lit(".txt")).alias("name"), X.given(F.col("analysis")).alias("content"))
+    return side.unionAll(results.where("error <> ''").select(F.concat("hash", F.lit(".md")), "error"))
+
+
+def evidence_join(spark, folder):
+    found = resume.with_evidence(table(spark, folder, "commits").select("commit_id", "hash"), side_files(spark, folder))
     return found.select("commit_id", F.md5("evidence").alias("evidence_md5"))
 
 
@@ -231,13 +237,6 @@ def retryable_class(spark, folder):
     return results.select("hash", X.is_retryable(status, F.col("error")).alias("with_status"), X.is_retryable(F.lit(None).cast("int"), F.col("error")).alias("without"))
 
 
-def backoff_schedule(spark, folder):
-    results = table(spark, folder, "analysis_results").where("error <> ''")
-    tries = results.select("hash", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt"))
-    wait = F.expr("shiftleft(1L, attempt)")
-    return tries.select("hash", F.col("attempt").cast("bigint").alias("attempt"), wait.alias("wait"), (wait * 2 - 1).alias("waited"))
-
-
 def _named(spark, folder):
     commits = table(spark, folder, "commits")
     return commits.select(F.col("commit_id").alias("input_index"), "requested_hash", F.when(F.col("subject").like("%drop%"), F.lit("")).otherwise(F.col("hash")).alias("canonical_hash"))
@@ -250,6 +249,10 @@ def resume_pending(spark, folder):
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 
+def resume_counts(spark, folder):
+    return resume.work_counts(*resume.split_work(_named(spark, folder), _reports(spark, folder)))
+
+
 def ordered_results(spark, folder):
     named = _named(spark, folder)
     pending, reused, failed = resume.split_work(named, _reports(spark, folder))
@@ -278,12 +281,6 @@ def report_subject_readback(spark, folder):
     return _reports(spark, folder).select("hash", X.subject_in_report(F.col("content")).alias("subject"))
 
 
-def setting_precedence(spark, folder):
-    commits = table(spark, folder, "commits")
-    first = F.coalesce(F.nullif("author", F.lit("")), F.nullif("date", F.lit("")), F.lit("default"))
-    return commits.select("commit_id", X.strip(first).alias("value"))
-
-
 def mail_parse(spark, folder):
     return parse_mails(table(spark, folder, "inbox_messages"))
 
@@ -342,14 +339,13 @@ QUERIES = {
     "evidence_join": evidence_join,
     "prompt_build": prompt_build,
     "retryable_class": retryable_class,
-    "backoff_schedule": backoff_schedule,
     "resume_pending": resume_pending,
+    "resume_counts": resume_counts,
     "ordered_results": ordered_results,
     "report_status_parse": report_status_parse,
     "report_render": report_render,
     "index_lines": index_lines,
     "report_subject_readback": report_subject_readback,
-    "setting_precedence": setting_precedence,
     "mail_parse": mail_parse,
     "pipeline_end_to_end": pipeline_end_to_end,
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from millrace.functions import text as X
-from millrace.operators.analysis import ANSWER_SECTIONS, CARD_ROWS
+from millrace.operators.analysis import answer_rules
 from millrace.plans.triage import EXCLUDE, HOST, INCLUDE
 
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -143,26 +143,18 @@ _SPLIT = f"""{_REPORTS}, {_NAMED},
               FROM named n LEFT JOIN done ON lower(canonical_hash) = h)"""
 
 
-def _prompt() -> str:
-    card = "\n".join(["| Field | Finding |", "|---|---|", *(f"| {r} | |" for r in CARD_ROWS)])
-    task = "\n\n".join(
-        [
-            "Answer in Markdown with exactly these headings.",
-            ANSWER_SECTIONS[0] + "\nMotive, main changes and subsystems.",
-            ANSWER_SECTIONS[1] + "\n- Verdict: relevant / not relevant / uncertain\n- Type\n- Confidence: high / medium / low\n- Reason: facts from the message or the diff",
-            ANSWER_SECTIONS[2] + "\n" + card,
-            *ANSWER_SECTIONS[3:],
-        ]
-    )
+def _prompt(hash_: str = "coalesce(hash, '')") -> str:
     q = _quoted
+    paths = "coalesce(array_to_string(list_filter(files, lambda x: x IS NOT NULL), chr(10)), '')"
     parts = [
-        q("=== Research context ===\nContext.\n\nUse only what stands below. Message and diff are separate evidence: intent and actual change.\n"),
-        q("\nCommit: "), "coalesce(hash, '')", q("\nAuthor: "), "coalesce(author, '')", q("\nDate: "), "coalesce(date, '')", q("\nTitle: "), "coalesce(subject, '')", q("\nDiff cut: "),
-        "CASE WHEN coalesce(diff_truncated, false) THEN 'yes, of ' || coalesce(original_diff_chars, 0) || ' characters; lower your confidence and say what may be missing' ELSE 'no' END",
-        q("\n\n=== Message ===\n"), "CASE WHEN coalesce(body, '') = '' THEN '(none)' ELSE body END",
-        q("\n\n=== Changed files ===\n"), "CASE WHEN coalesce(array_to_string(list_filter(files, lambda x: x IS NOT NULL), chr(10)), '') = '' THEN '(no changed files)' ELSE array_to_string(list_filter(files, lambda x: x IS NOT NULL), chr(10)) END",
-        q("\n\n=== Diff ===\n"), "CASE WHEN coalesce(diff, '') = '' THEN '(no text difference; perhaps binary files only)' ELSE diff END",
-        q("\n\n=== Further evidence ===\n(none given; do not claim to have seen mails, reports or manuals)\n\n" + task),
+        q("<study>\nContext.\n</study>\n\n"),
+        *(x for label, f in (("commit", "hash"), ("title", "subject"), ("by", "author"), ("on", "date")) for x in (q(f"{label}: "), hash_ if f == "hash" else f"coalesce({f}, '')", "chr(10)")),
+        "CASE WHEN coalesce(diff_truncated, false) THEN 'The patch below was shortened from ' || coalesce(original_diff_chars, 0)"
+        " || ' characters: say what may be hidden by that, and be less sure.' || chr(10) ELSE '' END",
+        q("\n<message>\n"), "CASE WHEN coalesce(body, '') = '' THEN 'There is no message beyond the title.' ELSE body END",
+        q("\n</message>\n\n<paths>\n"), f"CASE WHEN {paths} = '' THEN 'The commit changes no files.' ELSE {paths} END",
+        q("\n</paths>\n\n<patch>\n"), "CASE WHEN coalesce(diff, '') = '' THEN 'No textual patch; the change may be binary.' ELSE diff END",
+        q("\n</patch>\n\n<notes>\nNone. Reports, discussions and manuals have not been seen and must not be cited.\n</notes>\n\n" + answer_rules()),
     ]
     return f"SELECT commit_id, CAST(length(p) AS BIGINT) AS chars, md5(p) AS prompt_md5 FROM (SELECT commit_id, {' || '.join(parts)} AS p FROM commits)"
 
@@ -170,11 +162,11 @@ def _prompt() -> str:
 _FIELD_ORDER = ("subject", "body", "files", "diff")
 
 
-def _audit() -> str:
+def _audit(order=_FIELD_ORDER) -> str:
     rows = []
     for side, patterns in (("include", INCLUDE), ("exclude", EXCLUDE)):
         for n, p in enumerate(patterns):
-            fields = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_hit(p, f)} THEN '{f}' END" for f in _FIELD_ORDER) + "], lambda x: x IS NOT NULL), ',')"
+            fields = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_hit(p, f)} THEN '{f}' END" for f in order) + "], lambda x: x IS NOT NULL), ',')"
             rows.append(f"SELECT commit_id AS input_index, '{side}' AS side, {n} AS rule, {_quoted(p)} AS pattern, {fields} AS fields FROM commits")
     return f"""SELECT input_index, side, CAST(row_number() OVER (PARTITION BY input_index, side ORDER BY rule) - 1 AS BIGINT) AS no, pattern, fields
         FROM ({' UNION ALL '.join(rows)}) WHERE fields <> ''"""
@@ -256,8 +248,9 @@ SQL = {
         WITH s AS (SELECT hash, TRY_CAST(nullif(regexp_extract(error, '^HTTP ([0-9]+)$', 1), '') AS INT) AS status,
                           regexp_matches(lower(coalesce(error, '')), '429|rate limit|timeout|connection|http 5') AS by_text FROM analysis_results)
         SELECT hash, CASE WHEN status IS NULL THEN by_text ELSE status IN (408, 409, 429) OR status BETWEEN 500 AND 599 END AS with_status, by_text AS without FROM s""",
-    "backoff_schedule": "SELECT hash, attempt, CAST(1 << attempt AS BIGINT) AS wait, CAST((1 << attempt) * 2 - 1 AS BIGINT) AS waited FROM (SELECT hash, unnest(range(4)) AS attempt FROM analysis_results WHERE error <> '')",
     "resume_pending": f"WITH {_SPLIT} SELECT input_index, part FROM parts",
+    "resume_counts": f"""WITH {_SPLIT}
+        SELECT count(*) AS selected, count(*) FILTER (part = 'pending') AS pending, count(*) FILTER (part = 'reused') AS reused, count(*) FILTER (part = 'failed') AS failed FROM parts""",
     "ordered_results": f"""WITH {_SPLIT}
         SELECT input_index, requested_hash, CASE WHEN part = 'failed' THEN requested_hash ELSE canonical_hash END AS hash,
                CASE part WHEN 'failed' THEN '' WHEN 'reused' THEN '{X.REUSED_NOTE}' ELSE 'a' END AS analysis, CASE WHEN part = 'failed' THEN 'no such commit' ELSE '' END AS error FROM parts""",
@@ -266,5 +259,47 @@ SQL = {
     "report_render": f"WITH {_REPORTS} SELECT hash, md5(content) AS report_md5 FROM reports",
     "index_lines": "SELECT hash, '- [' || hash || '](./' || hash || '.md) - ' || coalesce(subject, '') || CASE WHEN coalesce(error, '') <> '' THEN ' (failed, to be tried again)' ELSE '' END AS line FROM analysis_results",
     "report_subject_readback": f"SELECT hash, {_strip('subject')} AS subject FROM analysis_results",
+}
+
+_GIT_PATHS = "list_sort(list_distinct(list_transform(list_filter(coalesce(files, []), lambda x: coalesce(x, '') <> ''), lambda x: 'p/' || md5(x))))"
+_RETRIED = "CASE WHEN status IS NULL THEN by_text ELSE status IN (408, 409, 429) OR status BETWEEN 500 AND 599 END"
+
+# of the queries in plans.repositories
+FILE_SQL = {
+    "git_commits_read": f"""
+        WITH s AS (SELECT *, {_strip("coalesce(subject, '') || chr(10) || chr(10) || coalesce(body, '')")} AS t FROM commits),
+        l AS (SELECT *, regexp_split_to_array(t, '{_LINE_END}') AS parts FROM s)
+        SELECT commit_id, {_strip('parts[1]')} AS subject, md5({_strip('array_to_string(parts[2:], chr(10))')}) AS body_md5, md5(coalesce(author, '')) AS author,
+               strftime(make_timestamp((commit_id % 100000) * 3600000000), '%Y-%m-%d') AS date, array_to_string({_GIT_PATHS}, chr(10)) AS files,
+               CAST(len({_GIT_PATHS}) AS BIGINT) AS diffs, true AS same, '' AS error FROM l""",
+    "resolve_bulk": """
+        SELECT commit_id, unnest(['whole', 'prefix', 'unknown']) AS form, unnest([true, true, false]) AS own FROM commits
+        UNION ALL SELECT commit_id, 'tag', true FROM commits WHERE commit_id % 50 = 0""",
+    "archive_read": """
+        SELECT epoch, seq, raw_md5 FROM (
+            SELECT CAST(epoch AS BIGINT) AS epoch, CAST(row_number() OVER (PARTITION BY epoch ORDER BY seq) - 1 AS BIGINT) AS seq, md5(raw_message) AS raw_md5 FROM inbox_messages
+        ) WHERE raw_md5 IS NOT NULL""",
+    "sink_hash_list": """
+        SELECT CAST(row_number() OVER (ORDER BY commit_id) - 1 AS BIGINT) AS input_index, requested_hash FROM (
+            SELECT *, row_number() OVER (PARTITION BY lower(requested_hash) ORDER BY commit_id) AS place
+            FROM commits WHERE regexp_full_match(coalesce(requested_hash, ''), '[0-9a-fA-F]{4,64}')
+        ) WHERE place = 1""",
+    "sink_filter_audit": f"""
+        WITH m AS ({_audit(("subject", "body", "files"))}), d AS ({_decided()})
+        SELECT d.input_index, status, reason, count(*) FILTER (side = 'include') AS includes, coalesce(string_agg(pattern, ',' ORDER BY no) FILTER (side = 'exclude'), '') AS excludes
+        FROM d LEFT JOIN m ON m.input_index = d.input_index GROUP BY ALL""",
+    "sink_mail_audit": SQL["mail_audit_flat"],
+    "sink_reports": f"WITH {_REPORTS} SELECT hash, md5(content) AS report_md5, {_finished('content')} AS finished FROM reports",
+    "sink_index": f"SELECT CAST(row_number() OVER (ORDER BY hash) - 1 AS BIGINT) AS no, line FROM ({SQL['index_lines']})",
+    "evidence_files": SQL["evidence_join"],
+    "analysed_commits": f"""
+        SELECT c.commit_id AS input_index, hash || '-' || c.commit_id AS hash, CASE WHEN refused THEN '{X.FAILED_SUBJECT}' ELSE subject END AS subject,
+               CASE WHEN refused THEN '' ELSE prompt_md5 END AS analysis, CASE WHEN refused THEN 'refused' ELSE '' END AS error
+        FROM (SELECT *, coalesce(subject, '') LIKE '%drop%' AS refused FROM commits) c
+        JOIN ({_prompt("hash || '-' || commit_id")}) p ON p.commit_id = c.commit_id""",
+    "retry_loop": f"""
+        WITH s AS (SELECT hash, error, TRY_CAST(nullif(regexp_extract(error, '^HTTP ([0-9]+)$', 1), '') AS INT) AS status,
+                          regexp_matches(lower(error), '429|rate limit|timeout|connection|http 5') AS by_text FROM analysis_results WHERE error <> '')
+        SELECT hash, CAST(CASE WHEN {_RETRIED} THEN 4 ELSE 0 END AS BIGINT) AS retries, CAST(CASE WHEN {_RETRIED} THEN 15 ELSE 0 END AS BIGINT) AS waited, 'no answer: ' || error AS error FROM s""",
     "setting_precedence": f"SELECT commit_id, {_strip(_FIRST_SET)} AS value FROM commits",
 }

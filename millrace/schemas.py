@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-HASH_LIST = "input_index bigint, requested_hash string"
 COMMIT = (
     "requested_hash string, hash string, subject string, author string, date string, body string, "
     "files array<string>, diff string, diff_truncated boolean, original_diff_chars int"
 )
-COMMIT_OR_ERROR = f"input_index bigint, {COMMIT}, error string"
 MESSAGE = "epoch int, seq bigint, storage_commit string, raw_message binary"
 MAIL = "message_id string, subject string, date string, body string"
 MATCHES = "array<struct<pattern: string, fields: array<string>>>"
@@ -29,8 +25,3 @@ EXCLUDE_HIT, INCLUDE_HIT, NO_INCLUDE = "exclude_hit", "include_hit", "no_include
 NO_INCLUDE_HIT, NOT_ALL_INCLUDES, UNREADABLE = "no_include_hit", "not_all_includes_hit", "commit_unreadable"
 NO_CVE_ID, NO_FIX_REFERENCE, IN_REPOSITORY = "no_cve_id", "no_fix_reference", "in_repository"
 NOT_IN_REPOSITORY, FELL_BACK, ALL_FIXES = "not_in_repository", "fell_back_to_all", "all_fixes"
-
-
-def struct(ddl: str) -> T.StructType:
-    """A DDL string as a StructType, without a session."""
-    return T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(ddl)

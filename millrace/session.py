@@ -34,16 +34,24 @@ def local_session(cpus: int | str = 8, memory: str = "8g", partitions: int = 8,
     )
 
 
+def uri(path: str | Path) -> str:
+    """``path`` with its scheme. One without is a path of the file system that all machines have mounted, for Spark as for Python."""
+    return str(path) if "://" in str(path) or str(path).startswith("file:") else Path(path).expanduser().resolve().as_uri()
+
+
 _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a local folder of our own stands in, one an application.
+    Only where that is unset and all executors run on this machine (tests), a local folder of our own stands
+    in, one an application. Elsewhere it is an error: other machines could not read what is written there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -55,27 +63,34 @@ def shared_folder(spark: SparkSession) -> str:
 _MADE: list[str] = []
 
 
+def _hadoop(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
+    """A fresh path in the shared folder. It is deleted by ``clear_work``, or else when the application ends."""
     _MADE.append(f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex[:12]}")
+    fs, path = _hadoop(spark, _MADE[-1])
+    fs.mkdirs(path.getParent())
+    fs.mkdirs(path)  # only what exists can be marked for deletion
+    fs.deleteOnExit(path)
     return _MADE[-1]
 
 
 def clear_work(spark: SparkSession) -> None:
     """Deletes the tables that this process has written to the shared folder; no DataFrame on them may be used after."""
     while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = _hadoop(spark, _MADE.pop())
+        fs.delete(path, True)
+        fs.cancelDeleteOnExit(path)
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = work_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    path = f"{work_path(spark, name)}/table"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,12 +10,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import uri
+
 
 def read_text_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(name, content) of the text files of a folder that match ``pattern``; none if there is no such file."""
-    if not any(Path(folder).glob(pattern)):
+    found = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(uri(folder), pattern))
+    matching = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found)
+    if matching is None or not len(matching):
         return spark.createDataFrame([], "name string, content string")
-    read = spark.read.text(os.path.join(folder, pattern), wholetext=True)
+    read = spark.read.text(os.path.join(uri(folder), pattern), wholetext=True)
     return read.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
 
 

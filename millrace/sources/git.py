@@ -46,26 +46,47 @@ def check_work_tree(folder: str | Path) -> None:
 
 
 def resolve_hashes(folder: str | Path, hashes: Iterable[str]) -> dict[str, str]:
-    """Whole hash of each given one (in lower case) that names exactly one commit: one process for all."""
-    wanted = list(dict.fromkeys(h.lower() for h in hashes if _HASH.match(h)))
+    """Whole hash of each given one (in lower case) that names exactly one commit, tags peeled: one process for all.
+
+    Git repeats the asked hash behind each answer, so answers are told apart by name, never by place.
+    """
+    wanted = dict.fromkeys(h.lower() for h in hashes if _HASH.match(h))
     if not wanted:
         return {}
-    out = git(folder, "cat-file", "--batch-check=%(objectname) %(objecttype)", stdin="".join(f"{h}^{{commit}}\n" for h in wanted))
-    # an ambiguous prefix is answered on several lines; only the last of them is about the object asked for
-    answers = [line.split() for line in out.splitlines() if not line.startswith(("\t", " ", "hint"))]
-    return {h: a[0] for h, a in zip(wanted, answers, strict=False) if len(a) == 2 and a[1] == "commit"}
+    out = git(folder, "cat-file", "--batch-check=%(objectname) %(objecttype) %(rest)", stdin="".join(f"{h}^{{commit}} {h}\n" for h in wanted))
+    answers = (line.split(" ") for line in out.splitlines())
+    return {a[2]: a[0] for a in answers if len(a) == 3 and a[1] == "commit" and a[2] in wanted}
 
 
 def read_commit(folder: str | Path, full: str, with_diff: bool) -> tuple[str, str, str, list[str], str]:
     """(author, date, message, files, diff) of one commit."""
-    shown = git(folder, "show", "-s", "--date=short", "--format=%an%x00%ad%x00%B", full)
-    author, date, message = (shown.split("\0", 2) + ["", ""])[:3]
+    # What git is asked, so that dates, paths and differences come in the expected form
+    shown = git(folder, "show", "-s", "--date=short", "--format=%an%x00%ad%x00%B", full).split("\0", 2)
+    if len(shown) != 3:
+        raise GitError(f"the metadata of {full} are malformed")
+    author, date, message = shown
     names = git(folder, "show", "--name-only", "--format=", "--no-ext-diff", full)
     files = [x.strip() for x in names.splitlines() if x.strip()]
     diff = git(folder, "show", "--format=", "--find-renames", "--find-copies", "--unified=3", "--no-ext-diff", full).strip() if with_diff else ""
     return author.strip(), date.strip(), message, files, diff
 
 
+def resolve_in_repository(references: DataFrame, ref: str, folder: str) -> DataFrame:
+    """(``ref`` in lower case, canonical_hash) of the distinct references that name one commit of a work tree.
+
+    Git itself decides, in partitions with one process a batch: prefixes that are ambiguous in the repository
+    name none, tag objects name the commit that they tag. All executors must see ``folder``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = resolve_hashes(folder, batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.string())], names=[ref, "canonical_hash"])
+
+    wanted = references.select(F.lower(F.col(f"`{ref}`")).alias(ref)).where(X.is_hash(F.col(ref))).distinct()
+    return wanted.mapInArrow(run, f"`{ref}` string, canonical_hash string")
+
+
 _RAW = "input_index bigint, requested_hash string, hash string, author string, date string, message string, files array<string>, diff string, error string"
 _RAW_NAMES = ["input_index", "requested_hash", "hash", "author", "date", "message", "files", "diff", "error"]
 

@@ -7,6 +7,8 @@ import pytest
 from millrace import cli
 from millrace import settings as C
 from millrace.functions import text as X
+from millrace.operators import hashlist
+from millrace.operators import references as R
 from millrace.sources import git
 
 ENV = os.environ | {
@@ -114,15 +116,15 @@ def test_stages_end_to_end(spark, repo, inbox, tmp_path, capsys):
     (tmp_path / "kept.txt").write_text(f"{hashes[0][:9]}\n{hashes[1]}\n{hashes[0]}\n{'e' * 40}\n")
     assert cli.main(["analyze", *args, "--end-index", "0"], spark) == 0 and not (tmp_path / "out").exists()
     log = tmp_path / "calls"
-    assert cli.main(["analyze", *args], spark, make_analyzer=Counting(str(log))) == 1
+    assert cli.main(["analyze", *args], spark, make_model=Counting(str(log))) == 1
     assert sorted(log.read_text().split()) == sorted([hashes[0], hashes[1]])
     report = (tmp_path / "out" / f"{hashes[0]}.md").read_text()
     assert report.startswith(X.SUCCESS_MARK) and "evidence True" in report
     index = (tmp_path / "out" / "index.md").read_text().splitlines()[2:]
     assert [line.split("]")[0][3:] for line in index] == [hashes[0], hashes[1], hashes[0], "e" * 40] and "failed" in index[3]
-    assert cli.main(["analyze", *args], spark, make_analyzer=Counting(str(log))) == 1
+    assert cli.main(["analyze", *args], spark, make_model=Counting(str(log))) == 1
     assert len(log.read_text().split()) == 2  # finished reports aren't asked for again
-    assert cli.main(["analyze", *args, "--force", "--end-index", "2"], spark, make_analyzer=Counting(str(log))) == 0
+    assert cli.main(["analyze", *args, "--force", "--end-index", "2"], spark, make_model=Counting(str(log))) == 0
     assert len(log.read_text().split()) == 4
     (tmp_path / "kept.txt").write_text("HEAD\n")
     assert cli.main(["analyze", *args], spark) == 2 and cli.main(["filter", *args, "--include", "["], spark) == 2 and cli.main([], spark) == 2
@@ -130,18 +132,70 @@ def test_stages_end_to_end(spark, repo, inbox, tmp_path, capsys):
 
 
 class Counting:
-    """Makes analyzers that note which commits they were asked about."""
+    """Makes models that note which commits they were asked about; ``last`` calls kill the process."""
 
-    def __init__(self, log):
-        self.log = log
+    def __init__(self, log, last=10**9):
+        self.log, self.last = log, last
 
     def __call__(self):
-        return self
+        return self.ask
 
-    def analyze(self, prompt):
+    def ask(self, task):
+        if os.path.exists(self.log) and len(open(self.log).read().split()) >= self.last:
+            os._exit(1)
         with open(self.log, "a") as out:
-            out.write(prompt.split("\nCommit: ")[1].split("\n")[0] + "\n")
-        return f"evidence {'seen on a board' in prompt}"
+            out.write(task.split("\ncommit: ")[1].split("\n")[0] + "\n")
+        return f"evidence {'seen on a board' in task}"
+
+
+def test_a_killed_job_pays_for_no_answer_twice(spark, repo, tmp_path):
+    folder, hashes = repo
+    (tmp_path / "context.md").write_text("what we look for")
+    (tmp_path / "list.txt").write_text("\n".join(hashes) + "\n")
+    args = ["analyze", str(folder), str(tmp_path / "list.txt"), "--context-md", str(tmp_path / "context.md"), "--outdir", str(tmp_path / "out"), "--workers", "1"]
+    log = tmp_path / "calls"
+    with pytest.raises(Exception, match="Python worker"):
+        cli.main(args, spark, make_model=Counting(str(log), 2))
+    assert len(log.read_text().split()) == 2 and len(list((tmp_path / "out").glob("*.md"))) == 2
+    assert cli.main(args, spark, make_model=Counting(str(log))) == 0
+    assert sorted(log.read_text().split()) == sorted(hashes)
+
+
+def test_references_are_resolved_by_git(spark, tmp_path):
+    run(tmp_path, "init", "-q", "-b", "main")
+    by_prefix, n = {}, 0
+    while True:  # two commits whose hashes begin alike
+        made = run(tmp_path, "commit-tree", "4b825dc642cb6eb9a060e54bf8d69288fbee4904", "-m", str(n)) if n else (run(tmp_path, "write-tree"), run(tmp_path, "commit-tree", "4b825dc642cb6eb9a060e54bf8d69288fbee4904", "-m", "0"))[1]
+        n += 1
+        if made[:4] in by_prefix:
+            break
+        by_prefix[made[:4]] = made
+    one, two = by_prefix[made[:4]], made
+    run(tmp_path, "tag", "-a", "-m", "t", "v1", one)
+    tag = run(tmp_path, "rev-parse", "v1")
+    asked = [made[:4], one, two[:30].upper(), tag, "e" * 40, "HEAD", None]
+    found = git.resolve_in_repository(spark.createDataFrame([(a,) for a in asked], "ref string"), "ref", str(tmp_path))
+    # the ambiguous prefix stays unresolved although one of its commits is named in full as well
+    assert {r.ref: r.canonical_hash for r in found.collect()} == {one: one, two[:30]: two, tag: one}
+    fixes = spark.createDataFrame([(1, 0, a) for a in asked if a], "mail int, fix_idx int, reported_hash string")
+    got = R.attach(fixes, git.resolve_in_repository(fixes, "reported_hash", str(tmp_path))).collect()
+    assert {r.reported_hash: r.canonical_hash for r in got} == {made[:4]: "", one: one, two[:30].upper(): two, tag: one, "e" * 40: "", "HEAD": ""}
+
+
+def test_hash_lists_keep_their_order_over_blocks(spark, tmp_path):
+    path = tmp_path / "long.txt"
+    hashes = [f"{i * 7919 % 1_000_003:08x}" for i in range(20_000)]
+    path.write_text("\ufeff# list\r\n" + "".join(f" {h}\x0b\n" if i % 3 else f"{h}\r\n\n" for i, h in enumerate([*hashes, hashes[5].upper()])), newline="")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = hashlist.read_hash_list(spark, str(path)).orderBy("input_index").collect()
+        assert [r.requested_hash for r in rows] == list(dict.fromkeys(hashes)) and [r.input_index for r in rows] == list(range(len(rows)))
+        path.write_text("abcd\n\n# x\n" * 5000 + "wrong\n")
+        with pytest.raises(hashlist.HashListError, match="line 15001: not a hash: 'wrong'"):
+            hashlist.read_hash_list(spark, str(path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_settings(tmp_path):

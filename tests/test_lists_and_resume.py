@@ -1,3 +1,8 @@
+import http.server
+import itertools
+import json
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,58 +64,100 @@ def test_evidence(spark):
     assert resume.with_evidence(commits, None).first().evidence == ""
 
 
-class Scripted:
-    """A chat client that gives outcomes in turn."""
+class Status(Exception):
+    def __init__(self, code):
+        super().__init__(f"status {code}")
+        self.status = code
 
-    def __init__(self, *outcomes):
-        self.outcomes, self.calls = list(outcomes), 0
-        self.chat = self.completions = self
 
-    def create(self, **_):
-        self.calls += 1
-        outcome = self.outcomes.pop(0)
+def scripted(*outcomes):
+    left = list(outcomes)
+
+    def ask(_):
+        outcome = left.pop(0)
         if isinstance(outcome, Exception):
             raise outcome
-        message = type("M", (), {"content": outcome})
-        return type("R", (), {"choices": [type("C", (), {"message": message})]})
-
+        return outcome
 
-class Status(Exception):
-    def __init__(self, code):
-        super().__init__(f"status {code}")
-        self.status_code = code
+    return ask, left
 
 
 def test_retries():
     waits = []
-    chat = analysis.ChatAnalyzer(Scripted(Status(503), Status(429), " ok "), "m", sleep=waits.append)
-    assert chat.analyze("p") == "ok" and waits == [1, 2]
-    for outcomes, tries in (([ValueError("bad request")], 1), ([""], 1), ([Status(501)] * 9, 5), ([Status(404)] * 2, 1)):
-        client = Scripted(*outcomes)
-        with pytest.raises(analysis.AnalysisError):
-            analysis.ChatAnalyzer(client, "m", sleep=lambda _: None).analyze("p")
-        assert client.calls == tries
-    assert [analysis.retryable(e) for e in (Status(408), Status(400), Exception("Rate limit"), Exception("HTTP 502"), Exception("no"))] == [True, False, True, True, False]
-
-
-class Echo:
-    def analyze(self, prompt):
-        if "bad0" in prompt:
+    assert analysis.patient(scripted(Status(503), Status(429), " ok ")[0], sleep=waits.append)("p") == "ok" and waits == [1, 2]
+    for outcomes, tries in (([ValueError("bad request")], 1), ([" "], 1), ([Status(501)] * 9, 5), ([Status(404)] * 2, 1)):
+        ask, left = scripted(*outcomes)
+        with pytest.raises(analysis.CallFailed):
+            analysis.patient(ask, sleep=lambda _: None)("p")
+        assert len(outcomes) - len(left) == tries
+    assert [analysis.passing(e) for e in (Status(408), Status(400), Exception("Rate limit"), Exception("HTTP 502"), Exception("no"))] == [True, False, True, True, False]
+
+
+def test_endpoint():
+    seen, replies = [], [(503, ""), (200, json.dumps({"choices": [{"message": {"content": " fine "}}]})), (200, "{}"), (400, "")]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            status, body = replies.pop(0)
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        ask = analysis.patient(analysis.Endpoint(f"http://127.0.0.1:{server.server_port}/v1/", "k", "m", 77), sleep=lambda _: None)
+        assert ask("task") == "fine" and len(seen) == 2
+        path, key, body = seen[0]
+        assert (path, key, body["model"], body["max_tokens"], body["messages"][1]["content"]) == ("/v1/chat/completions", "Bearer k", "m", 77, "task")
+        for _ in range(2):
+            with pytest.raises(analysis.CallFailed):
+                ask("task")
+    finally:
+        server.shutdown()
+    with pytest.raises(analysis.CallFailed, match="connection"):
+        analysis.Endpoint("http://127.0.0.1:9", "k", "m", seconds=2)("task")
+
+
+def echo():
+    def ask(task):
+        if "bad0" in task:
             raise RuntimeError("refused")
-        return f"{len(prompt)} characters"
+        return f"{len(task)} characters"
+
+    return ask
 
 
 def test_one_failure_does_not_stop_the_batch(spark):
     schema = "input_index long, requested_hash string, hash string, subject string, author string, date string, body string, files array<string>, diff string, diff_truncated boolean, original_diff_chars int, evidence string, error string"
     rows = [(0, "g", "good", "s", "a", "d", "", [], "", True, 60000, "", ""), (1, "b", "bad0", "s", "a", "d", "x", ["f", None], "y", False, 1, "e", ""), (2, "m", "", None, None, None, None, None, None, None, None, None, "gone")]
     df = spark.createDataFrame(rows, schema)
-    got = {r.input_index: r for r in analysis.analyse(df, Echo, "context", 2).collect()}
+    got = {r.input_index: r for r in analysis.analyse(df, echo, "context", 2).collect()}
     assert got[0].error == "" and "characters" in got[0].analysis
     assert (got[1].hash, got[1].error, got[1].subject) == ("bad0", "refused", X.FAILED_SUBJECT)
     assert (got[2].hash, got[2].error) == ("m", "gone")
     text = df.select(analysis.prompt("context").alias("p")).collect()
-    assert "60000 characters" in text[0].p and "(none given" in text[0].p and all(h in text[0].p for h in analysis.ANSWER_SECTIONS)
-    assert "\nf\n" in text[1].p and "(none given" not in text[1].p and text[2].p is not None
+    assert "60000 characters" in text[0].p and "None. Reports" in text[0].p and all(f"## {h}\n" in text[0].p for h, _ in analysis.OUTLINE)
+    assert "\nf\n" in text[1].p and "None. Reports" not in text[1].p and text[2].p is not None
+
+
+def test_saved_answers(spark):
+    row = {"hash": "h", "subject": "s", "author": None, "date": "d", "analysis": "a\n\n---\nb", "error": ""}
+    text = X.report_text(row, "now")
+    assert X.saved_answer(text, "now") == row["analysis"] and X.saved_answer(text, "then") is None and X.saved_answer(text, "") is None
+    assert X.saved_answer(X.report_text(row | {"error": "e"}, "now"), "now") is None
+    df = spark.createDataFrame([tuple(row.values())], "hash string, subject string, author string, date string, analysis string, error string")
+    assert df.select(X.render_report(*[F.col(c) for c in ("hash", "subject", "author", "date", "analysis", "error")], F.lit("now")).alias("r")).first().r == text
+
+
+def test_strip_is_pythons(spark):
+    texts = ["".join(c) for c in itertools.product(["a", " ", "\x1c\x85", "\u2003\u3000\t", "\u200b"], repeat=3)] + ["", " " * 50_000 + "x" + " " * 50_000 + "y", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.s for r in df.select(X.strip(F.col("t")).alias("s")).collect()] == [(t or "").strip() for t in texts]
 
 
 def test_files(spark, tmp_path):

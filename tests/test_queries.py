@@ -1,7 +1,7 @@
 import pytest
 from conftest import same_rows
 
-from millrace.plans import triage, triage_sql
+from millrace.plans import repositories, triage, triage_sql
 from millrace.streaming.ingest import keep_once
 
 
@@ -10,9 +10,14 @@ def test_query_and_sql(spark, data, sql, name):
     same_rows(triage.QUERIES[name](spark, data), sql, triage_sql.SQL[name])
 
 
+@pytest.mark.parametrize("name", sorted(triage_sql.FILE_SQL))
+def test_file_query_and_sql(spark, data, sql, name):
+    assert same_rows(repositories.QUERIES[name](spark, data), sql, triage_sql.FILE_SQL[name])
+
+
 def test_every_query_has_sql_or_is_known_not_to():
     assert set(triage.QUERIES) - set(triage_sql.SQL) == {"mail_parse", "pipeline_end_to_end"}
-    assert set(triage_sql.SQL) <= set(triage.QUERIES)
+    assert set(triage_sql.SQL) <= set(triage.QUERIES) and set(triage_sql.FILE_SQL) == set(repositories.QUERIES)
 
 
 def test_entry(spark):
