@@ -25,7 +25,7 @@ from millrace.session import written
 
 CAPACITY = 2048
 SHARD = 2000  # items of a shard, on average
-TASKS = 20_000  # tasks at most; beyond that a task fills more shards, one after the other
+TASKS = 4_000  # tasks at most; beyond that a task fills more shards, one after the other
 K1, B = 1.2, 0.75  # BM25
 COMMON = 0.1  # terms in a larger share of all items do not tell neighbours apart and weigh nothing
 

@@ -126,7 +126,7 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def slices(batch: pa.RecordBatch, text: int, limit: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of about ``limit`` bytes of its column ``text``, so that long texts do not add up in memory."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
