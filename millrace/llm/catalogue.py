@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +93,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_replaced(spark: SparkSession, folder: str) -> DataFrame:
-    return personal.replace_mentions(table(spark, folder, "documents"), "doc_id", "text")
+    secret = os.environ.get("MILLRACE_SECRET", "a key for tests").encode()
+    return personal.replace_mentions(table(spark, folder, "documents"), "doc_id", "text", secret)
 
 
 QUERIES = {
