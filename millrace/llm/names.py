@@ -19,7 +19,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.llm.encodings import Repairer, train
+from millrace.llm.encodings import Model, Repairer, train
 from millrace.session import written
 
 MIN_SUFFIX = 2  # letters that a blocking suffix has at least
@@ -110,13 +109,14 @@ def parse(name: str) -> tuple[str, list[str], str]:
     return "person", tokens, "open"
 
 
-def _parsed(authors: DataFrame, model: np.ndarray) -> DataFrame:
+def _parsed(authors: DataFrame, model: Model) -> DataFrame:
     """(author, org, t1, t2, form) of each distinct author."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repairer = Repairer(model)
         for batch in batches:
             names = batch.column(0).to_pylist()
+            repairer.learn(names)
             rows = [parse(repairer.text(n)[1]) for n in names]
             yield pa.RecordBatch.from_arrays(
                 [
