@@ -8,7 +8,10 @@ sorted stream adds up the lengths.
 Two exact cuts come first. A pair that must occur ``least`` times needs items that do. And as a pair
 cannot occur more often than its rarer item, ``together * N >= lift * count_a * count_b`` needs
 ``N >= lift * count`` of either item: items in more than a ``lift``-th of all records, however hot,
-are in no pair of the result and leave before pairs are made.
+are in no pair of the result and leave before pairs are made. What stays may still be frequent: items
+in more than a ten-thousandth of all rows, of which there are few, get their codes by broadcast.
+
+Codes have 31 bits, so one call tells at most 2,147,483,648 items apart that occur ``least`` times; more are an error.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.deliveries import sharded_ordinals
+from millrace.operators.skew import lookup
 from millrace.session import written
 
 LEAST, LIFT = 5, 10
-_SHARDS, _ORDINAL_BITS = 1024, 21  # 2^31 codes
+_SHARDS = 1024  # shards in which items are numbered
+_CODES = 1 << 31
 _RUN = 1 << 21  # pairs of one sorted run (16 MB)
 _FIELDS = 100  # fields whose number of records the plan holds as literals
 _BLOCK = 512  # items of a record whose pairs one row makes
@@ -127,21 +132,28 @@ def together(rows: DataFrame, least: int = LEAST, lift: int = LIFT, block: int =
         counts = counts.withColumn("records", records)
     counts = counts.where(F.col("n") * lift <= F.col("records"))
     keyed = counts.withColumn("key", F.concat_ws("\x01", "field", "item"))
-    coded = sharded_ordinals(keyed, "key", _SHARDS)
-    fits = F.when(F.col("ordinal") < (1 << _ORDINAL_BITS), F.col("ordinal")).otherwise(F.raise_error(F.lit("too many items of one shard")).cast("bigint"))
-    coded = coded.select("field", "item", "n", "records", (F.shiftleft(F.col("shard").cast("bigint"), _ORDINAL_BITS) + fits).alias("code"))
+    numbered = written(sharded_ordinals(keyed, "key", _SHARDS).drop("key"), "item-numbers")
+    # shards follow one another without gaps: a code is what stands in the shards before, and the ordinal
+    sizes_of = sorted((r["shard"], r["n"]) for r in numbered.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect())  # at most _SHARDS rows
+    total, starts = 0, []
+    for number, n in sizes_of:
+        starts.append((number, total))
+        total += n
+    if total > _CODES:
+        raise OverflowError(f"{total} items are more than {_CODES} codes can tell apart")
+    offsets = spark.createDataFrame(starts or [(-1, 0)], "shard int, start bigint")
+    coded = numbered.join(offsets, "shard").select("field", "item", "n", "records", (F.col("start") + F.col("ordinal")).alias("code"))
     coded = written(coded, "item-codes")
 
     baskets = (
-        rows.join(coded.select("field", "item", "code"), ["field", "item"])
+        lookup(rows, coded.select("field", "item", "code", "n"), ["field", "item"], "n")
         .groupBy("field", "record")
         .agg(F.sort_array(F.collect_list("code")).alias("codes"))
         .where(F.size("codes") > 1)
         .select("codes", F.explode(F.sequence(F.lit(0), F.when(F.size("codes") > block, F.expr(f"(size(codes) - 1) div {block}")).otherwise(0))).alias("block"))
     )
     runs = baskets.mapInArrow(partial(_pair_runs, block=block, run=run), "pair bigint, n bigint")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = runs.repartition(partitions, "pair").sortWithinPartitions("pair").mapInArrow(_merge_runs, "pair bigint, together bigint")
+    merged = runs.repartition("pair").sortWithinPartitions("pair").mapInArrow(_merge_runs, "pair bigint, together bigint")
     pairs = merged.where(F.col("together") >= least).select(
         F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"), "together"
     )
