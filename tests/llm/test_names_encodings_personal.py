@@ -7,6 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from millrace.llm import catalogue, encodings, names, personal
 
 # --- wrong encodings --------------------------------------------------------------------------
@@ -188,6 +190,42 @@ def test_longest_common_subsequence(a, b):
     assert names.lcs(a, b) == table[-1][-1]
 
 
+def test_lost_characters_marked_initials_and_slips_of_given_names(spark):
+    lost = names._LOST
+    spellings = [
+        ["Céline Halfemerund", f"C{lost}line Halfemerund", f"C{lost}line H{lost}lfemerund", f"C{lost}{lost}line Halfemerund"],
+        ["Åsa Venlifeben", "Å. Venlifeben", "Venlifeben, Å."],
+        ["Adriana Venlifeben"],
+        ["A. Venlifeben"],  # either of the two
+    ]
+    # a slip that is typed with many families is none the less a slip
+    rng = random.Random(3)
+    others = [[f"Céline {''.join(rng.choices('bdfgklmnprst', k=9)).title()}"] for _ in range(60)]
+    for own in others[:6]:
+        own.append(own[0].replace("Céline", "Celin"))
+    rows = [(n,) for group in [*spellings, *others] for n in group]
+    df = spark.createDataFrame(rows, "author string")
+    nicks = spark.createDataFrame([("Adriana", "Addy"), ("Åsa", "Å")], "given_name string, nickname string")
+    got = {tuple(r) for r in names.same_names(df, "author", nicks).collect()}
+    want = {tuple(sorted(p)) for group in [*spellings, *others] for p in itertools.combinations(group, 2)}
+    assert got == want, (got - want, want - got)
+
+
+def test_large_blocks_are_refined_without_loss(spark, monkeypatch):
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("abc", k=rng.randint(5, 7))) for _ in range(300)})
+    df = spark.createDataFrame([(w, "g") for w in words], "fam string, given string")
+    blocks = df.select("fam", "given", F.explode(names._block_keys(F.col("fam"), names.MIN_SUFFIX)).alias("key"))
+    want = {(a, b) for a, b in itertools.combinations(words, 2) if names.near(a, b)}
+    for size in (10_000, 10):
+        monkeypatch.setattr(names, "BLOCK", size)
+        fine = names._refined(blocks, "fam", "given")
+        pairs = fine.join(fine.withColumnRenamed("fam", "to"), ["given", "key"]).where("fam < to").select("fam", "to").distinct().collect()
+        assert want <= {tuple(r) for r in pairs}
+        largest = fine.groupBy("given", "key").count().agg(F.max("count")).first()[0]
+        assert size == 10_000 or largest < blocks.groupBy("given", "key").count().agg(F.max("count")).first()[0]
+
+
 def test_corpus_names(spark, data):
     rows = catalogue.p4_found(spark, data).collect()
     assert rows and all(r.author_a < r.author_b for r in rows) and len(rows) == len({tuple(r) for r in rows})
