@@ -182,7 +182,7 @@ def analyze(spark: SparkSession, argv: list[str], make_model=None) -> int:
         commits = git.read_commits(todo, str(args.linux_dir), args.max_diff_chars, True, args.workers)
         evidence = files.read_text_files(spark, str(args.evidence_dir)) if args.evidence_dir else None
         args.outdir.mkdir(parents=True, exist_ok=True)
-        analysed = written(analysis.analyse(resume.with_evidence(commits, evidence), make_model, context, args.workers, str(args.outdir), made_at), "analysed")
+        analysed = written(analysis.analyse(resume.with_evidence(commits, evidence), make_model, context, args.workers, str(args.outdir), made_at, True), "analysed")
     results = written(resume.in_input_order(named, analysed, reused, failed), "results")
     # answers are reports already; what could not even be resolved gets its report here
     fields = [F.col(c) for c in ("hash", "subject", "author", "date", "analysis", "error")]

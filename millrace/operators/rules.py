@@ -32,7 +32,10 @@ class RuleError(ValueError):
 
 
 def java_pattern(pattern: str) -> str | None:
-    """``pattern`` in Java's notation with the same matches as in Python, or null if that isn't certain."""
+    """``pattern`` in Java's notation with the same matches as in Python, or null if that isn't certain.
+
+    Nor if it repeats a group without bound: Java matches each round by a call in a call, which ends on long texts.
+    """
     out: list[str] = []
     i, n, in_class = 0, len(pattern), False
     while i < n:
@@ -90,6 +93,8 @@ def java_pattern(pattern: str) -> str | None:
             continue
         elif c == "{" and not re.match(r"\{\d+(?:,\d*)?\}", pattern[i:]):
             return None
+        elif out and out[-1] == ")" and re.match(r"[*+]|\{\d+(?:,|,?\d{3,})\}", pattern[i:]):
+            return None
         else:
             out.append(c)
         i += 1

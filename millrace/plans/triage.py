@@ -285,14 +285,33 @@ def mail_parse(spark, folder):
     return parse_mails(table(spark, folder, "inbox_messages"))
 
 
+def mail_fields(spark, folder):
+    """Identifier, subject and what the body names, of every raw mail."""
+    parsed = parse_mails(table(spark, folder, "inbox_messages"))
+    hashes = F.array_sort(R.merged_in_row(F.col("body"), HOST)["reported_hash"])
+    return parsed.select("mail_id", "message_id", "subject", F.array_join(F.array_sort(X.cve_ids(F.col("subject"), F.col("body"))), ",").alias("ids"), F.array_join(hashes, ",").alias("hashes"))
+
+
+def pipeline_audit(spark, folder):
+    """Raw mails to their audit: parse, keep once, extract, merge, resolve, select; places within a mail left out."""
+    found = pipeline.extract(table(spark, folder, "inbox_messages"), table(spark, folder, "commits"), host=HOST)
+    one = F.transform("fixes", lambda f: F.concat_ws(":", f["reported_hash"], f["canonical_hash"], f["selected"].cast("string")))
+    return found.mails.select("epoch", "seq", "status", "reason", F.array_join(F.array_sort(one), ",").alias("fixes"), F.size(F.filter("fixes", lambda f: f["emitted"])).cast("bigint").alias("emitted"))
+
+
+def pipeline_lines(spark, folder):
+    """The lines of the index that raw mails lead to, in no order."""
+    return pipeline_end_to_end(spark, folder).select("hash", "line")
+
+
 def pipeline_end_to_end(spark, folder):
     """Raw mails to selected commits: parse, keep once, extract, merge, resolve, select, emit, filter, index."""
     commits = table(spark, folder, "commits")
     found = pipeline.extract(table(spark, folder, "inbox_messages"), commits, host=HOST)
-    listed = pipeline.numbered(written(found.candidates, "candidates"))
     read = commits.select("commit_id", "hash", "subject", "body", "files", "diff_truncated", "original_diff_chars")
     loads = hashlist.first_of_each(read, F.col("hash"), [F.col("commit_id")])
-    joined = listed.join(loads, F.col("requested_hash") == F.col("hash"))
+    # the index is made of the candidates alone, so it is a number beside them before commits are joined
+    joined = pipeline.numbered(found.candidates).join(loads, F.col("requested_hash") == F.col("hash"))
     kept = rules.decide(joined, rules.compile_rules((), EXCLUDE, ("subject", "body", "files"))).where("status = 'selected'")
     return kept.select("input_index", "hash", X.render_index_line(F.col("hash"), F.col("subject"), F.lit("")).alias("line"))
 
@@ -347,5 +366,8 @@ QUERIES = {
     "index_lines": index_lines,
     "report_subject_readback": report_subject_readback,
     "mail_parse": mail_parse,
+    "mail_fields": mail_fields,
+    "pipeline_audit": pipeline_audit,
+    "pipeline_lines": pipeline_lines,
     "pipeline_end_to_end": pipeline_end_to_end,
 }

@@ -261,6 +261,30 @@ SQL = {
     "report_subject_readback": f"SELECT hash, {_strip('subject')} AS subject FROM analysis_results",
 }
 
+# mails whose parsed fields stand in cve_mails: identifiers stripped, each mail once
+_KEPT = f"""
+    stripped AS (SELECT * REPLACE ({_strip('message_id')} AS message_id) FROM cve_mails),
+    kept_mails AS (SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY CASE WHEN message_id <> '' THEN lower(message_id) ELSE 'git:' || epoch || ':' || storage_commit END ORDER BY epoch, seq) AS copy
+        FROM stripped) WHERE copy = 1)"""
+_PIPELINE = f"{_KEPT}, {_selected().replace('cve_mails', 'kept_mails')}"
+_HASHES = "array_to_string(list_sort(list_distinct(list_transform(coalesce(fixes, []), lambda f: lower(f.reported_hash)))), ',')"
+SQL |= {
+    "mail_fields": f"""
+        SELECT mail_id, {_strip('message_id')} AS message_id, coalesce(subject, '') AS subject,
+               array_to_string(list_sort(list_distinct(list_transform(coalesce(cve_ids, []), lambda x: upper(x)))), ',') AS ids, {_HASHES} AS hashes FROM cve_mails""",
+    "pipeline_audit": f"""WITH {_PIPELINE},
+        lists AS (SELECT mail_id, string_agg(fix, ',' ORDER BY fix) AS fixes, sum(emitted::INT) AS emitted FROM (
+            SELECT mail_id, emitted, reported_hash || ':' || canonical_hash || ':' || selected AS fix FROM emitted) GROUP BY 1)
+        SELECT d.epoch, d.seq, status, reason, coalesce(fixes, '') AS fixes, CAST(coalesce(emitted, 0) AS BIGINT) AS emitted FROM decided d LEFT JOIN lists USING (mail_id)""",
+    "pipeline_lines": f"""WITH {_PIPELINE},
+        loads AS (SELECT min(commit_id) AS commit_id, hash FROM commits WHERE hash IS NOT NULL GROUP BY hash),
+        rated AS ({_decided((), EXCLUDE)})
+        SELECT c.hash, '- [' || c.hash || '](./' || c.hash || '.md) - ' || coalesce(c.subject, '') AS line
+        FROM emitted e JOIN loads l ON l.hash = e.output_hash JOIN rated r ON r.input_index = l.commit_id JOIN commits c ON c.commit_id = l.commit_id
+        WHERE e.emitted AND r.status = 'selected'""",
+}
+
 _GIT_PATHS = "list_sort(list_distinct(list_transform(list_filter(coalesce(files, []), lambda x: coalesce(x, '') <> ''), lambda x: 'p/' || md5(x))))"
 _RETRIED = "CASE WHEN status IS NULL THEN by_text ELSE status IN (408, 409, 429) OR status BETWEEN 500 AND 599 END"
 

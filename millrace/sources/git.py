@@ -2,8 +2,8 @@
 
 ``spark.read.format("git_commits")`` needs ``path`` (a work tree) and ``hashes`` (comma-separated); large hash lists go through
 ``read_commits``, which looks them up in the partitions of the list. ``spark.read.format("mail_archive")`` needs
-``path`` and has one partition an epoch; a filter on ``epoch`` prunes partitions if
-``spark.sql.python.filterPushdown.enabled`` is on.
+``path`` and has one partition an epoch; with the option ``prune``, which needs
+``spark.sql.python.filterPushdown.enabled``, a filter on ``epoch`` prunes partitions.
 """
 
 from __future__ import annotations
@@ -210,13 +210,6 @@ class _ArchiveReader(DataSourceReader):
         self.found = epochs(options["path"])
         self.only: set[int] | None = None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("epoch",):
-                self.only = {f.value} if self.only is None else self.only & {f.value}
-            else:
-                yield f
-
     def partitions(self):
         return [_Epoch(n, p) for n, p in self.found if self.only is None or n in self.only] or [_Epoch(-1, "")]
 
@@ -227,6 +220,15 @@ class _ArchiveReader(DataSourceReader):
                 yield partition.number, place, commit, data
 
 
+class _PruningReader(_ArchiveReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("epoch",):
+                self.only = {f.value} if self.only is None else self.only & {f.value}
+            else:
+                yield f
+
+
 class MailArchive(DataSource):
     """Raw mails of an archive: epoch, seq (place in the epoch's history), storage_commit, raw_message."""
 
@@ -238,7 +240,7 @@ class MailArchive(DataSource):
         return S.MESSAGE
 
     def reader(self, schema):
-        return _ArchiveReader(self.options)
+        return (_PruningReader if self.options.get("prune", "false") == "true" else _ArchiveReader)(self.options)
 
 
 def register(spark: SparkSession) -> None:
@@ -249,4 +251,5 @@ def register(spark: SparkSession) -> None:
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     register(spark)
-    return spark.read.format("mail_archive").load(folder)
+    prune = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("mail_archive").option("prune", prune).load(folder)
