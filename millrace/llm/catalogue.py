@@ -44,14 +44,14 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def p5_rejoined(spark: SparkSession, folder: str) -> DataFrame:
     """Each oversized text put together again from its pieces, with what must hold for them.
 
-    ``at_lines``: cuts are hard only where no line begins in what the piece adds.
+    ``at_lines``: cuts are hard only where no line begins behind the overlap.
     """
     overlap, limit = pieces.OVERLAP, pieces.LIMIT
     own = p5_pieces(spark, folder).select("commit_id", F.struct("piece_no", "start_pos", "end_pos", "cut", "piece").alias("p"))
     parts = own.groupBy("commit_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
     added = lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substr(x["piece"], F.lit(overlap + 1)))
     text = F.array_join(F.transform("p", added), "")
-    fresh = F.transform("p", lambda x, i: F.struct(x["cut"].alias("cut"), F.left(added(x, i), F.length(added(x, i)) - 1).alias("new")))
+    fresh = F.transform("p", lambda x: F.struct(x["cut"].alias("cut"), F.substr(x["piece"], F.lit(overlap + 1), F.length(x["piece"]) - overlap - 1).alias("new")))
     repeated = F.expr(f"forall(sequence(1, size(p) - 1), i -> left(p[i].piece, {overlap}) = right(p[i - 1].piece, {overlap}) and p[i].piece_no = i)")
     return parts.select(
         "commit_id",
