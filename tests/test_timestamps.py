@@ -104,3 +104,11 @@ def test_test_tables_leave_only_meaningless_dates(spark, data):
             if (name, r[0]) not in found:
                 bad = r.date is None or not re.search(r"\d", r.date) or re.search(r"0000|13-05|02-30|31 Jun|25:10|, 12 Mar$", r.date)
                 assert bad, r.date
+
+
+def test_query_and_sql(spark, data, sql):
+    from conftest import same_rows
+
+    from millrace.plans.general import SQL, p1_found
+
+    assert same_rows(p1_found(spark, data), sql, SQL["p1_found"]) > 0
