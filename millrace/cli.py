@@ -52,6 +52,9 @@ def _at_least(args: argparse.Namespace, **limits: int) -> None:
             raise C.SettingsError(f"{name} must be at least {least}")
 
 
+# The names and defaults of the options below.
+
+
 def extract_options(argv: list[str], s: C.Settings) -> argparse.Namespace:
     own = s.cve_source
     parser = _parser("extract", ("inbox_dir", own.inbox_dir), ("output_file", C.first_given(own.output_file, s.hash_filter.source_file)))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tomllib
 from collections.abc import Mapping
-from dataclasses import dataclass, field, fields
 from pathlib import Path
 from typing import Any
 
@@ -18,87 +17,83 @@ class SettingsError(ValueError):
     """Settings that cannot be used."""
 
 
-@dataclass(frozen=True)
-class FilterSettings:
-    source_file: Path | None = None
-    output_file: Path | None = None
-    audit_file: Path | None = None
-    include: tuple[str, ...] = ()
-    exclude: tuple[str, ...] = ()
-    fields: tuple[str, ...] = ("subject", "body", "files")
-    match: str = "any"
-    case_sensitive: bool = False
-    workers: int | None = None
-    max_diff_chars: int | None = None
-
-
-@dataclass(frozen=True)
-class MailSettings:
-    inbox_dir: Path | None = None
-    output_file: Path | None = None
-    audit_file: Path | None = None
-    prefer_mainline: bool = True
-    fallback_to_all: bool = False
-
-
-@dataclass(frozen=True)
-class ModelSettings:
-    api_key_file: Path | None = None
-    base_url: str | None = None
-    model: str | None = None
-
-
-@dataclass(frozen=True)
-class Settings:
-    linux_dir: Path | None = None
-    hashes_file: Path | None = None
-    outdir: Path | None = None
-    context_md: Path | None = None
-    evidence_dir: Path | None = None
-    workers: int | None = None
-    force: bool | None = None
-    max_tokens: int | None = None
-    max_diff_chars: int | None = None
-    start_index: int | None = None
-    end_index: int | None = None
-    openai: ModelSettings = field(default_factory=ModelSettings)
-    hash_filter: FilterSettings = field(default_factory=FilterSettings)
-    cve_source: MailSettings = field(default_factory=MailSettings)
-
-
-_TABLES = {"openai": ModelSettings, "hash_filter": FilterSettings, "cve_source": MailSettings}
+# The keys of a settings file, with the type and the default of each.
+_KEYS = {
+    "": {
+        "linux_dir": ("path", None), "hashes_file": ("path", None), "outdir": ("path", None), "context_md": ("path", None), "evidence_dir": ("path", None),
+        "workers": ("int", None), "force": ("bool", None), "max_tokens": ("int", None), "max_diff_chars": ("int", None), "start_index": ("int", None), "end_index": ("int", None),
+    },
+    "openai": {"api_key_file": ("path", None), "base_url": ("text", None), "model": ("text", None)},
+    "hash_filter": {
+        "source_file": ("path", None), "output_file": ("path", None), "audit_file": ("path", None), "include": ("texts", ()), "exclude": ("texts", ()),
+        "fields": ("texts", ("subject", "body", "files")), "match": ("text", "any"), "case_sensitive": ("bool", False), "workers": ("int", None), "max_diff_chars": ("int", None),
+    },
+    "cve_source": {
+        "inbox_dir": ("path", None), "output_file": ("path", None), "audit_file": ("path", None), "prefer_mainline": ("bool", True), "fallback_to_all": ("bool", False),
+    },
+}
+
+
+class Settings(Mapping):
+    """One table of settings, read by name: ``s.workers`` or ``s["workers"]``. Tables within it are settings, too."""
+
+    def __init__(self, table: str = "", **given: Any):
+        unknown = sorted(set(given) - set(_KEYS[table]) - (set(_KEYS) - {""} if not table else set()))
+        if unknown:
+            raise SettingsError(f"unknown settings in {table or 'the file'}: {', '.join(unknown)}")
+        inner = {} if table else {t: Settings(t) for t in _KEYS if t}
+        self._values = {name: default for name, (_, default) in _KEYS[table].items()} | inner | given
+
+    def __getitem__(self, name: str) -> Any:
+        return self._values[name]
+
+    def __getattr__(self, name: str) -> Any:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        try:
+            return self._values[name]
+        except KeyError as e:
+            raise AttributeError(name) from e
+
+    def __iter__(self):
+        return iter(self._values)
+
+    def __len__(self) -> int:
+        return len(self._values)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Settings) and self._values == other._values
+
+    __hash__ = None
 
 
 def _typed(name: str, kind: str, value: Any, base: Path) -> Any:
-    """``value`` as the annotated kind of a field; an empty text means that it isn't set."""
-    if kind.startswith("Path"):
+    """``value`` as the declared type of a key; an empty text means that it isn't set."""
+    if kind == "path":
         if not isinstance(value, str):
             raise SettingsError(f"{name} must be a path")
         return (base / Path(value).expanduser()).resolve() if value else None
-    if kind.startswith("tuple"):
+    if kind == "texts":
         if not isinstance(value, list) or not all(isinstance(x, str) for x in value):
             raise SettingsError(f"{name} must be a list of texts")
         return tuple(x.strip() for x in value if x.strip())
-    wanted = {"int": int, "bool": bool, "str": str}[kind.split(" ")[0]]
+    wanted = {"int": int, "bool": bool, "text": str}[kind]
     if not isinstance(value, wanted) or (wanted is int and isinstance(value, bool)):
-        raise SettingsError(f"{name} must be of type {wanted.__name__}")
+        raise SettingsError(f"{name} must be of type {kind}")
     return (value.strip() or None) if wanted is str else value
 
 
-def _build(kind: type, data: Mapping[str, Any], base: Path, where: str) -> Any:
-    known = {f.name: str(f.type) for f in fields(kind)}
-    unknown = sorted(set(data) - set(known))
-    if unknown:
-        raise SettingsError(f"unknown settings in {where}: {', '.join(unknown)}")
-    out = {}
+def _build(table: str, data: Mapping[str, Any], base: Path) -> Settings:
+    Settings(table, **data)  # names only
+    out: dict[str, Any] = {}
     for name, value in data.items():
-        if kind is Settings and name in _TABLES:
+        if not table and name in _KEYS:
             if not isinstance(value, dict):
                 raise SettingsError(f"{name} must be a table")
-            out[name] = _build(_TABLES[name], value, base, f"[{name}]")
-        elif (typed := _typed(name, known[name], value, base)) is not None:
+            out[name] = _build(name, value, base)
+        elif (typed := _typed(name, _KEYS[table][name][0], value, base)) is not None:
             out[name] = typed
-    return kind(**out)
+    return Settings(table, **out)
 
 
 def load_settings(path: str | Path, required: bool = False) -> Settings:
@@ -112,7 +107,7 @@ def load_settings(path: str | Path, required: bool = False) -> Settings:
         data = tomllib.loads(path.read_text(encoding="utf-8"))
     except (OSError, UnicodeDecodeError, tomllib.TOMLDecodeError) as e:
         raise SettingsError(f"{path} can't be read: {e}") from e
-    found = _build(Settings, data, path.parent, path.name)
+    found = _build("", data, path.parent)
     rules = found.hash_filter
     wrong = sorted(set(rules.fields) - set(FIELDS))
     if wrong or not rules.fields:

@@ -222,7 +222,7 @@ def test_settings(tmp_path):
 
 
 def test_options(tmp_path):
-    s = C.Settings(linux_dir=tmp_path, hashes_file=tmp_path / "h", workers=3, hash_filter=C.FilterSettings(source_file=tmp_path / "c", include=("a",)), cve_source=C.MailSettings(inbox_dir=tmp_path))
+    s = C.Settings(linux_dir=tmp_path, hashes_file=tmp_path / "h", workers=3, hash_filter=C.Settings("hash_filter", source_file=tmp_path / "c", include=("a",)), cve_source=C.Settings("cve_source", inbox_dir=tmp_path))
     a = cli.filter_options([], s)
     assert (a.output_file, a.workers, a.include, a.max_diff_chars) == (tmp_path / "h", 3, ["a"], 0)
     assert cli.filter_options(["--include", "b", "--workers", "1"], s).include == ["b"]
