@@ -64,8 +64,8 @@ class _Taken(Exception):
 class DeliveryLedger:
     """What has been delivered so far, in a folder that all executors share.
 
-    ``states/<n>`` is JSON: the dictionary's segments (key, shard, ordinal), how many ordinals each shard has used
-    (shard, used), the bitmaps (shard, word, seen), and the batch that made it. The highest number counts.
+    ``states/<n>`` is JSON: the dictionary's segments (key, shard, ordinal), how many ordinals each shard has used,
+    the bitmaps (shard, word, seen), and the batch that made it. The highest number counts.
     A batch that fails leaves at most identifiers whose bits are unset, so it can simply run again.
 
     An identifier seen for the first time costs one dictionary row; a batch reads the dictionary once, as
@@ -119,14 +119,14 @@ class DeliveryLedger:
         names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
         numbers = [int(n) for n in names if n.isdigit()]
         if not numbers:
-            return {"n": 0, "shards": self.shards, "dictionary": [], "used": None, "bits": None, "batch": None, "kept": None, "old": []}
+            return {"n": 0, "shards": self.shards, "dictionary": [], "used": {}, "bits": None, "batch": None, "kept": None, "old": []}
         return json.loads(self._load(f"{self.path}/states/{max(numbers):012d}"))
 
     def _commit(self, state: dict, **changes) -> dict:
         """The next state, made by this writer alone; raises ``_Taken`` if another one was faster."""
         new = state | {"batch": None, "kept": None} | changes
         new["n"] = state["n"] + 1
-        gone = [p for p in [*state["dictionary"], state["used"], state["bits"]] if p and p not in [*new["dictionary"], new["used"], new["bits"]]]
+        gone = [p for p in [*state["dictionary"], state["bits"]] if p and p not in [*new["dictionary"], new["bits"]]]
         new["old"] = [*state["old"], *([new["n"], p] for p in gone)]
         expired = [p for n, p in new["old"] if n <= new["n"] - KEEP_STATES]
         new["old"] = [x for x in new["old"] if x[1] not in expired]
@@ -148,8 +148,8 @@ class DeliveryLedger:
 
     # --- tables
 
-    _DICTIONARY = "key string, shard int, ordinal bigint"
-    _USED = "shard int, used bigint"
+    # a batch's codes are a segment of the dictionary, too: those of them that are new
+    _DICTIONARY = "key string, shard int, ordinal bigint, new boolean"
     _BITS = "shard int, word bigint, seen bigint"
 
     def _written(self, df: DataFrame, name: str) -> str:
@@ -162,41 +162,42 @@ class DeliveryLedger:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*([paths] if isinstance(paths, str) else paths))
 
+    def _known(self, segments: list[str]) -> DataFrame:
+        return self._read(segments, self._DICTIONARY).where("new").drop("new")
+
     def dictionary(self) -> DataFrame:
-        return self._read(self._state()["dictionary"], self._DICTIONARY)
+        return self._known(self._state()["dictionary"])
 
     def bits(self) -> DataFrame:
         return self._read(self._state()["bits"], self._BITS)
 
     # --- batches
 
-    def _encode(self, firsts: str) -> tuple[dict, str]:
-        """(state, (key, rid, shard, ordinal) of all keys of a batch), the dictionary extended by those it lacks."""
+    def _encode(self, firsts: DataFrame) -> tuple[dict, str]:
+        """(state, path of (key, rid, shard, ordinal, new) of all keys of a batch), the dictionary extended by the new ones."""
         while True:
             state = self._state()
-            rows = self._read(firsts, self._firsts)
             if not state["shards"]:
-                state["shards"] = max(8, -(-rows.count() // KEYS_OF_SHARD))
-            looked = rows.join(self._read(state["dictionary"], self._DICTIONARY), "key", "left")
-            coded = self._written(looked, "looked")
-            looked = self._read(coded, looked.schema)
-            if looked.where("ordinal is null").isEmpty():
-                return state, coded
-            used = self._read(state["used"], self._USED)
-            fresh = sharded_ordinals(looked.where("ordinal is null").select("key", "rid"), "key", state["shards"], used)
-            whole = self._written(looked.where("ordinal is not null").unionByName(fresh), "coded")
-            segment = self._written(fresh.select("key", "shard", "ordinal"), "dictionary")
-            self._fs.delete(self._at(coded), True)
-            more = self._read(segment, self._DICTIONARY).groupBy("shard").agg((F.max("ordinal") + 1).alias("used"))
-            now = self._written(used.unionByName(more).groupBy("shard").agg(F.max("used").alias("used")).coalesce(1), "used")
-            segments = [*state["dictionary"], segment]
+                state["shards"] = max(8, -(-firsts.count() // KEYS_OF_SHARD))
+            if state["dictionary"]:
+                looked = firsts.join(self._known(state["dictionary"]), "key", "left")
+                used = self.spark.createDataFrame([(int(k), n) for k, n in state["used"].items()], "shard int, used bigint")
+                fresh = sharded_ordinals(looked.where("ordinal is null").select("key", "rid"), "key", state["shards"], used)
+                coded = looked.where("ordinal is not null").withColumn("new", F.lit(False)).unionByName(fresh.withColumn("new", F.lit(True)))
+            else:
+                coded = sharded_ordinals(firsts, "key", state["shards"]).withColumn("new", F.lit(True))
+            path = self._written(coded.select("key", "rid", "shard", "ordinal", "new"), "codes")
+            more = self._known([path]).groupBy("shard").agg((F.max("ordinal") + 1).alias("used")).collect()  # a row a shard
+            if not more:
+                return state, path
+            segments = [*state["dictionary"], path]
             if len(segments) > SEGMENTS:
-                segments = [self._written(self._read(segments, self._DICTIONARY).repartition("shard").sortWithinPartitions("shard", "key"), "dictionary")]
-                self._fs.delete(self._at(segment), True)
+                whole = self._known(segments).withColumn("new", F.lit(True))
+                segments = [self._written(whole.repartition("shard").sortWithinPartitions("shard", "key"), "dictionary")]
             try:
-                return self._commit(state, dictionary=segments, used=now), whole
+                return self._commit(state, dictionary=segments, used=state["used"] | {str(r["shard"]): r["used"] for r in more}), path
             except _Taken:
-                for p in (whole, segment, now, *(segments if len(segments) == 1 else ())):
+                for p in {path, segments[-1]}:
                     self._fs.delete(self._at(p), True)
 
     def apply(self, batch: DataFrame, key: Column, order: list[Column], row_id: str, batch_id: str | None = None) -> DataFrame:
@@ -219,9 +220,7 @@ class DeliveryLedger:
         arrivals = batch.select(F.col(f"`{row_id}`").alias("rid"), key.alias("key"), F.struct(*order, F.col(f"`{row_id}`")).alias("ord"))
         # partial aggregation runs before the shuffle, so a hot identifier costs one row a task
         firsts = arrivals.where("key is not null").groupBy("key").agg(F.min_by("rid", "ord").alias("rid"))
-        self._firsts = firsts.schema
-        staged = self._written(firsts, "firsts")
-        state, coded = self._encode(staged)
+        state, coded = self._encode(firsts)
         coded_schema = f"key string, rid {kind.simpleString()}, shard int, ordinal bigint"
         while True:
             codes = self._read(coded, coded_schema).withColumn("word", F.expr(f"ordinal div {WORD}")).withColumn("bit", F.expr(f"cast(ordinal % {WORD} as int)"))
@@ -238,12 +237,12 @@ class DeliveryLedger:
             except _Taken:
                 for p in (kept, bitmaps):
                     self._fs.delete(self._at(p), True)
-                state = self._state()
+                state = self._state()  # the codes are still right: a dictionary is only added to
                 if (other := self._done(state, name)) is not None:  # the same batch, applied by another writer
                     return self._read(other, ids)
         self._save(self._mark(name), kept)
-        for p in (staged, coded):
-            self._fs.delete(self._at(p), True)
+        if coded not in [*state["dictionary"], *(p for _, p in state["old"])]:
+            self._fs.delete(self._at(coded), True)
         return self._read(kept, ids)
 
 
